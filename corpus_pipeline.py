@@ -13,7 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import common, decontam, exact, simhash
+from pathloom.llm import common, decontam, exact, pieces, simhash, toxicity
+from pathloom.llm.queries import tokenizer_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage)]
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.report(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("pieces", pieces_stage)]
 
 #: The classifier, SimHash and sampled segmentations have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
