@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ from . import common
 MAGIC = b"PLRECIDX"
 END_ID = 2
 #: Entries of a worker's cache, and the longest piece that enters it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 40
 
 
@@ -64,10 +65,25 @@ def unframed(data: bytes, at: int) -> bytes:
     return payload
 
 
+#: ASCII marks whose run at a piece's end is a pre-token of its own after letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^`{|}~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Texts to packed ids through a ``tokenizers`` file."""
+    """Texts to packed ids through a ``tokenizers`` file of a byte-level BPE.
+
+    A piece of letters is one pre-token, so it goes to the library's model; other pieces go through the library's
+    pre-tokenizer first.
+    """
 
-    def __init__(self, path: str, dtype: str = "<u2"):
+    def __init__(self, path: str, width: int = 2):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,12 +91,36 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.dtype, self.known = dtype, {}
+        self.model, self.split = self.lib.model, self.lib.pre_tokenizer.pre_tokenize_str
+        self.code, self.known, self.letters = {2: "H", 4: "I"}[width], {}, byte_letters()
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece with the space before it."""
+        if text.isalpha():
+            return self.packed([t.id for t in self.model.tokenize("\u0120" + (text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)))])
+        core = text.rstrip(MARKS)
+        if core.isalpha():
+            return self.ids(core) + self.run(text[len(core) :])
+        head, line, tail = text.partition("\n")
+        if head and tail and not head[-1].isspace() and tail.isalpha():  # the pre-tokenizer splits around the line's end
+            return self.ids(head) + self.run("\n") + self.run(tail)
+        return self.packed([t.id for word, _ in self.split(" " + text) for t in self.model.tokenize(word)])
+
+    def ids(self, text: str) -> bytes:
+        return self.known.get(text) or self.piece(text)
+
+    def run(self, text: str) -> bytes:
+        """Ids of one pre-token without a space before it."""
+        key = "\n" + text  # no piece begins with white space
+        if key not in self.known:
+            self.known[key] = self.packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
+        return self.known[key]
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first cut, and what follows each cut without its leading space."""
@@ -100,10 +140,9 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        missing = list({p for _, rest in cut for p in rest if p not in known})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            known.update(zip(some, self.library([" " + p for p in some]), strict=True))
+        missing = {p for _, rest in cut for p in rest if p not in known}
+        for p in sorted(missing, key=len):
+            known[p] = self.piece(p)
         get = known.__getitem__
         heads = self.library([head for head, _ in cut])
         out = [head + b"".join(map(get, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
@@ -113,6 +152,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, width: int) -> Encoder:
+    """This worker's encoder; its cache outlives a task."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
+
+
 MANIFEST = "part int, data string, idx string, n_records long, n_ids long, before long"
 
 
@@ -125,7 +174,6 @@ def _fs(path: str):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Writes data files and indexes below ``path``; returns the manifest, one row for each file, as a small table."""
-    dtype = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
         filesystem, root = _fs(path)
         filesystem.create_dir(root, recursive=True)
         attempt = f"{root}/.{part}-{uuid.uuid4().hex}"
-        encoder, tail = Encoder(tokenizer, dtype), struct.pack({2: "<H", 4: "<I"}[width], end_id)
+        encoder, tail = encoder_of(tokenizer, width), struct.pack({2: "<H", 4: "<I"}[width], end_id)
         index, at, before = [], 0, 0
         out = None
         for whole in batches:
