@@ -133,9 +133,11 @@ class Lattice:
         # longest first, as they are likeliest: a walk then looks at few edges
         froms, lens, ids, logs = froms[::-1], lens[::-1], ids[::-1], logs[::-1]
         at, lens = np.concatenate(froms), np.concatenate(lens)
-        order = np.argsort(left[at] * np.int64(len(code) + 1) + at, kind="stable")  # by distance from the end, then by node
-        at, lens, ids, logs = at[order], lens[order].astype(np.int64), np.concatenate(ids)[order], np.concatenate(logs)[order]
-        away = left[at]
+        order = np.argsort(at, kind="stable")  # merges of sorted runs
+        node, reach, self.id, logs = at[order], lens[order].astype(np.int64), np.concatenate(ids)[order], np.concatenate(logs)[order]
+        away = left[node]
+        order = np.argsort(away.astype(np.uint16) if not len(away) or away.max() < 1 << 16 else away, kind="stable")  # by distance from the end
+        at, lens, logs, away = node[order], reach[order], logs[order], away[order]
         beta = np.zeros(len(code) + 1)
         to = at + lens
         inside = away > lens
@@ -151,9 +153,9 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, n)), heads))
             beta[at[a:b][heads]] = total
             mass[a:b] = score - np.repeat(total, n)
-        order = np.argsort(at, kind="stable")
-        self.node, self.log, self.id = at[order], np.minimum(mass[order], 0.0), ids[order]
-        self.next = np.where(inside[order], to[order], -1)
+        self.node, self.log, self.next = node, np.empty(len(node)), np.empty(len(node), np.int64)
+        self.log[order] = np.minimum(mass, 0.0)
+        self.next[order] = np.where(inside, to, -1)
         p = np.exp(self.log)
         self.first = np.searchsorted(self.node, np.arange(len(code) + 1))
         run = np.cumsum(p)
@@ -207,7 +209,7 @@ def uniform(keys, counters):
     return ((mixed(keys ^ mixed(counters.astype(np.uint64))) >> np.uint64(12)) + 0.5) / float(1 << 52)
 
 
-def cut_gumbel(log_mass, bound: float, u):
+def cut_gumbel(log_mass, bound, u):
     """Gumbels of these log masses, each truncated at ``bound``."""
     import numpy as np
 
@@ -245,22 +247,31 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
         where = np.arange(len(nodes)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([t[3] for t in todo], np.int64), n)
         edges, count = lattice.walk(nodes, key, where << 20)
         cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n)])]
-        for (s, before, _, _, value, gone), a, b in zip(todo, cuts, cuts[1:], strict=False):
-            path = np.concatenate([before, edges[a:b]])
-            logs = lattice.log[path]
-            s.paths.append((path, float(logs.sum())))
+        # all decisions of the round in one row; of a path that was taken anew, from the decision that was
+        firsts = [max(0, len(t[1]) - 1) for t in todo]
+        heads = [lattice.log[t[1][:at]].sum() if at else 0.0 for t, at in zip(todo, firsts, strict=True)]
+        parts = [x for t, at, a, b in zip(todo, firsts, cuts, cuts[1:], strict=False) for x in (t[1][at:], edges[a:b])]
+        row = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        size = np.array([len(t[1]) - at for t, at in zip(todo, firsts, strict=True)], np.int64) + np.diff(cuts)
+        begin = np.cumsum(size) - size
+        logs, degree = lattice.log[row], lattice.first[lattice.node[row] + 1] - lattice.first[lattice.node[row]]
+        run = np.concatenate([[0.0], np.cumsum(logs)])
+        sums = run[begin + size] - run[begin]
+        with np.errstate(divide="ignore"):
+            other = np.where(degree == 1, -np.inf, np.log(-np.expm1(logs)))
+        for t, i in zip(todo, begin.tolist(), strict=True):
+            if t[5] is not None:
+                taken = {*t[5], int(row[i])}
+                rest = 1 - float(np.exp(lattice.log[list(taken)]).sum())
+                other[i] = np.log(rest) if rest > 1e-12 and degree[i] > len(taken) else -np.inf
+        mass = other + run[:-1] + np.repeat(np.array(heads) - run[begin], size)
+        place = np.arange(len(row)) + np.repeat(np.array(firsts, np.int64) - begin, size)
+        u = uniform(np.repeat(np.array([t[0].key for t in todo], np.uint64) + np.uint64(1000 + r), size), place)
+        board = cut_gumbel(mass, np.repeat(np.array([t[4] for t in todo]), size), u)
+        for (s, before, _, _, value, gone), at, head, total, i, j in zip(todo, firsts, heads, sums.tolist(), begin.tolist(), (begin + size).tolist(), strict=True):
+            s.paths.append((np.concatenate([before[:at], row[i:j]]), float(head) + total))
             s.values.append(value)
-            at = max(0, len(before) - 1)  # decisions before the one that was taken anew have their siblings already
-            ahead = np.cumsum(logs) - logs
-            with np.errstate(divide="ignore"):
-                other = np.log(-np.expm1(logs[at:]))
-            if gone is not None:
-                rest = 1 - sum(float(np.exp(lattice.log[e])) for e in {*gone, int(path[at])})
-                other[0] = np.log(rest) if rest > 1e-12 and lattice.first[lattice.node[path[at]] + 1] - lattice.first[lattice.node[path[at]]] > len({*gone, int(path[at])}) else -np.inf
-            single = lattice.first[lattice.node[path[at:]] + 1] - lattice.first[lattice.node[path[at:]]] == 1
-            mass = np.where(single, -np.inf, other + ahead[at:])
-            u = uniform(np.full(len(mass), s.key + np.uint64(1000 + r)), np.arange(at, at + len(mass)))
-            s.boards.append((cut_gumbel(mass, value, u), at, {*(gone or ())}))
+            s.boards.append((board[i:j], at, {*(gone or ())}))
         if r + 1 == k:
             break
         todo = [x for s in searches if (x := _next(lattice, s, r)) is not None]
