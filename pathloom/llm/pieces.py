@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +38,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Zipf-Mandelbrot: a piece's weight is 1 / (rank + SHIFT).
 SHIFT = 2.7
-SLICE = 4 << 20
-TABLE_BITS = 22
+SLICE = 1 << 20
+TABLE_BITS, SLOT_BITS = 22, 19
 
 
 def normal(text: str | None) -> str:
@@ -62,31 +64,49 @@ class Vocabulary:
         rank = np.argsort(np.argsort([-lib.get_score(i) for i in plain], kind="stable"), kind="stable")
         weight = 1 / (rank + SHIFT)
         self.longest = max(map(len, names))
-        hashes = np.array([self.hash_of(p) for p in names], np.uint64)
+        size = np.array([len(p) for p in names])
+        code = np.zeros((len(names), self.longest), np.uint64)
+        code[np.repeat(np.arange(len(names)), size), np.concatenate([np.arange(n) for n in size])] = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        hashes, h, starts = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint64), []
+        for n in range(self.longest):
+            h = rolled(h, code[:, n])
+            starts.append(h[size > n])
+            hashes[size == n + 1] = h[size == n + 1]
+        starts = np.concatenate(starts)
         order = np.argsort(hashes)
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("hashes of pieces clash")
-        self.hashes, self.ids, self.logs = hashes[order], np.array(plain)[order], np.log(weight / weight.sum())[order]
-        starts = np.array([self.hash_of(p) for p in {p[:n] for p in names for n in range(1, len(p) + 1)}], np.uint64)
+        self.hashes, self.ids, self.logs = hashes[order], np.array(plain, np.int32)[order], np.log(weight / weight.sum())[order]
         self.begun = np.zeros(1 << TABLE_BITS, bool)  # which hashes begin a piece; others need no longer window
         self.begun[(starts >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]  # the first of those that share a slot
+        self.many = np.zeros(1 << SLOT_BITS, bool)
+        self.many[slots[1:][slots[1:] == slots[:-1]]] = True
         self.bytes: list[bytes] = [b""] * lib.get_piece_size()
         for i, p in zip(plain, names, strict=True):
             self.bytes[i] = p.encode()
         for b in range(256 if self.byte0 is not None else 0):
             self.bytes[self.byte0 + b] = bytes([b])
+        self.table = np.array(self.bytes, dtype=object)
 
-    def hash_of(self, piece: str) -> int:
+    def find(self, h):
+        """Places of hashes among the pieces, -1 where there is none."""
         import numpy as np
 
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = rolled(h, np.array([ord(c)], np.uint64))
-        return int(h[0])
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        k = self.slot[slot]
+        k[self.hashes[k] != h] = -1  # an empty slot gives the last piece, whose hash differs
+        more = np.flatnonzero((k < 0) & self.many[slot])
+        if len(more):
+            at = np.minimum(np.searchsorted(self.hashes, h[more]), len(self.hashes) - 1)
+            k[more] = np.where(self.hashes[at] == h[more], at, -1)
+        return k
 
-    def decode(self, ids: list[int]) -> str:
-        """The normalised text of ids."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()
+    def decode(self, ids) -> bytes:
+        """The normalised text of ids, in UTF-8."""
+        return b"".join(self.table[ids].tolist())
 
 
 def rolled(h, code):
@@ -107,15 +127,15 @@ class Lattice:
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.base = np.cumsum(size) - size
-        left = np.repeat(self.base + size, size) - np.arange(len(code))  # characters from a position to its chunk's end
+        left = np.repeat((self.base + size).astype(np.int32), size) - np.arange(len(code), dtype=np.int32)  # characters from a position to its chunk's end
         froms, ids, logs, lens = [], [], [], []
-        live, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        live, h = np.arange(len(code), dtype=np.int32), np.zeros(len(code), np.uint64)
         for n in range(1, v.longest + 1):
             h = rolled(h, code[live + n - 1])
             go = v.begun[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             at, found = live[go], h[go]
-            k = np.minimum(np.searchsorted(v.hashes, found), len(v.hashes) - 1)
-            hit = v.hashes[k] == found
+            k = v.find(found)
+            hit = k >= 0
             more = left[at] > n
             live, h = at[more], found[more]
             at, k = at[hit], k[hit]
@@ -123,7 +143,7 @@ class Lattice:
                 bare = np.ones(len(code), bool)
                 bare[at] = False
                 bare = np.flatnonzero(bare)  # no piece: bytes, told by a negative number
-                at, own, log = np.concatenate([at, bare]), np.concatenate([v.ids[k], -code[bare].astype(np.int64) - 1]), np.concatenate([v.logs[k], np.full(len(bare), v.logs.min())])
+                at, own, log = np.concatenate([at, bare.astype(np.int32)]), np.concatenate([v.ids[k], -code[bare].astype(np.int32) - 1]), np.concatenate([v.logs[k], np.full(len(bare), v.logs.min())])
             else:
                 own, log = v.ids[k], v.logs[k]
             froms.append(at)
@@ -134,7 +154,7 @@ class Lattice:
         froms, lens, ids, logs = froms[::-1], lens[::-1], ids[::-1], logs[::-1]
         at, lens = np.concatenate(froms), np.concatenate(lens)
         order = np.argsort(at, kind="stable")  # merges of sorted runs
-        node, reach, self.id, logs = at[order], lens[order].astype(np.int64), np.concatenate(ids)[order], np.concatenate(logs)[order]
+        node, reach, self.id, logs = at[order], lens[order].astype(np.int32), np.concatenate(ids)[order], np.concatenate(logs)[order]
         away = left[node]
         order = np.argsort(away.astype(np.uint16) if not len(away) or away.max() < 1 << 16 else away, kind="stable")  # by distance from the end
         at, lens, logs, away = node[order], reach[order], logs[order], away[order]
@@ -153,11 +173,11 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, n)), heads))
             beta[at[a:b][heads]] = total
             mass[a:b] = score - np.repeat(total, n)
-        self.node, self.log, self.next = node, np.empty(len(node)), np.empty(len(node), np.int64)
+        self.node, self.log, self.next = node, np.empty(len(node)), np.empty(len(node), np.int32)
         self.log[order] = np.minimum(mass, 0.0)
         self.next[order] = np.where(inside, to, -1)
         p = np.exp(self.log)
-        self.first = np.searchsorted(self.node, np.arange(len(code) + 1))
+        self.first = np.searchsorted(self.node, np.arange(len(code) + 1, dtype=np.int32)).astype(np.int32)
         run = np.cumsum(p)
         start = (run - p)[self.first[:-1]] if len(code) else np.zeros(0)
         within = run - start[self.node] if len(code) else run
@@ -206,7 +226,7 @@ def uniform(keys, counters):
     """Numbers in (0, 1) that depend on key and counter only."""
     import numpy as np
 
-    return ((mixed(keys ^ mixed(counters.astype(np.uint64))) >> np.uint64(12)) + 0.5) / float(1 << 52)
+    return ((mixed(keys + counters.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(12)) + 0.5) / float(1 << 52)
 
 
 def cut_gumbel(log_mass, bound, u):
@@ -231,13 +251,11 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
     import numpy as np
 
     chunked = [CHUNK.findall(normal(t)) for t in texts]
-    number: dict[str, int] = {}
-    for chunk in {c for x in chunked for c in x}:
-        number[chunk] = len(number)
+    number: dict[str, int] = defaultdict(count().__next__)
+    numbers = [np.fromiter(map(number.__getitem__, x), np.int32, len(x)) for x in chunked]
     lattice = Lattice(vocabulary, list(number))
     keys = mixed(np.asarray(keys, np.int64).astype(np.uint64))
-    get = number.__getitem__
-    searches = [Search(key, lattice.base[np.fromiter(map(get, x), np.int64, len(x))] if x else np.zeros(0, np.int64)) for key, x in zip(keys, chunked, strict=True)]
+    searches = [Search(key, lattice.base[x]) for key, x in zip(keys, numbers, strict=True)]
     # what is to be walked in this round: (search, path before, nodes, first chunk of them, value)
     todo = [(s, np.zeros(0, np.int64), s.chunks, 0, float(-np.log(-np.log(uniform(s.key[None], np.zeros(1, np.int64))[0]))), None) for s in searches]
     for r in range(k):
@@ -245,8 +263,8 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
         n = np.array([len(t[2]) for t in todo], np.int64)
         key = np.repeat(mixed(np.array([t[0].key for t in todo], np.uint64) + np.uint64(r + 1)), n)
         where = np.arange(len(nodes)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([t[3] for t in todo], np.int64), n)
-        edges, count = lattice.walk(nodes, key, where << 20)
-        cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n)])]
+        edges, steps = lattice.walk(nodes, key, where << 20)
+        cuts = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], np.cumsum(n)])]
         # all decisions of the round in one row; of a path that was taken anew, from the decision that was
         firsts = [max(0, len(t[1]) - 1) for t in todo]
         heads = [lattice.log[t[1][:at]].sum() if at else 0.0 for t, at in zip(todo, firsts, strict=True)]
@@ -350,8 +368,8 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES) -> DataFrame:
                 texts, keys = common.values(part, "text"), common.values(part, "doc_id")
                 rows = []
                 for doc_id, text, found in zip(keys, texts, sampled(vocabulary, [x or 0 for x in keys], texts, samples), strict=True):
-                    want = normal(text)
-                    rows += [(doc_id, j, ids.tobytes(), len(ids), log, value, inclusion, vocabulary.decode(ids.tolist()) == want) for j, (ids, log, value, inclusion) in enumerate(found)]
+                    want = normal(text).encode()
+                    rows += [(doc_id, j, ids.tobytes(), len(ids), log, value, inclusion, vocabulary.decode(ids) == want) for j, (ids, log, value, inclusion) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sample int, ids binary, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean")
