@@ -139,8 +139,7 @@ def combined(p: np.ndarray, sign: np.ndarray, tail: str, r: np.ndarray | None =
     ok = p < 1
     if not ok.any():
         return 1.0
-    up = np.where(sign > 0, p / 2, 1 - p / 2)
-    one = (up if tail == "positive" else 1 - up)[ok]
+    one = np.where((sign > 0) == (tail == "positive"), p / 2, 1 - p / 2)[ok]
     stat, k = float(-2 * np.log(one).sum()), len(one)
     mean, scale, df = 2.0 * k, 1.0, 2.0 * k
     if r is not None:

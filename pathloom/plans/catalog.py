@@ -27,6 +27,7 @@ UNDIRECTED = "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM
 REACH = "r AS (SELECT src, dst, 1 AS d FROM e UNION ALL SELECT r.src, e.dst, r.d + 1 AS d FROM r JOIN e ON e.src = r.dst WHERE r.d < 10)"
 DIST = f"e AS (@signal), {REACH}, dist AS (SELECT src, dst, min(d) AS d FROM r GROUP BY src, dst)"
 VERTS = "SELECT src AS name FROM (@mixed) e UNION SELECT dst AS name FROM (@mixed) f"
+DIST_MIXED = DIST.replace("(@signal)", "(@mixed)")  # a bidirected pair can be walked both ways
 DEPTH = "depth AS (SELECT name, max(d) AS level FROM (SELECT dst AS name, max(d) AS d FROM r GROUP BY dst UNION ALL SELECT src AS name, 0 AS d FROM e) x GROUP BY name)"
 WEIGHTS = f"SELECT x, y, round(1.0 - abs(r), 9) AS w FROM ({PAIR}) p"
 
@@ -87,8 +88,8 @@ def _plans() -> dict[str, str]:
     p["source_sink_nodes"] = "WITH e AS (@signal) SELECT s.name AS source, t.name AS sink FROM (SELECT DISTINCT src AS name FROM e WHERE src NOT IN (SELECT dst FROM e)) s CROSS JOIN (SELECT DISTINCT dst AS name FROM e WHERE dst NOT IN (SELECT src FROM e)) t"
     p["weighted_indegree_status"] = "SELECT dst, CASE WHEN sum(w) >= 1 THEN 1 WHEN sum(w) = 0 THEN 0 ELSE -1 END AS status FROM (SELECT src, dst, CASE WHEN src < dst THEN 1.0 ELSE -0.5 END AS w FROM (@mixed) e) s GROUP BY dst"
     p["bfs_distance"] = f"WITH RECURSIVE {DIST} SELECT src, dst, d FROM dist WHERE src = 'PIP3'"
-    p["ancestors"] = f"WITH RECURSIVE {DIST} SELECT src AS name FROM dist WHERE dst = 'Erk' UNION SELECT 'Erk' AS name"
-    p["descendants"] = f"WITH RECURSIVE {DIST} SELECT dst AS name FROM dist WHERE src = 'PKA' UNION SELECT 'PKA' AS name"
+    p["ancestors"] = f"WITH RECURSIVE {DIST_MIXED} SELECT src AS name FROM dist WHERE dst = 'Erk' UNION SELECT 'Erk' AS name"
+    p["descendants"] = f"WITH RECURSIVE {DIST_MIXED} SELECT dst AS name FROM dist WHERE src = 'PKA' UNION SELECT 'PKA' AS name"
     p["parents"] = "SELECT src AS name FROM (@mixed) e WHERE dst = 'PKC' UNION SELECT 'PKC' AS name"
     p["children_siblings"] = "SELECT dst AS name FROM (@mixed) e WHERE src = 'PIP3' UNION SELECT 'PIP3' AS name"
     p["topo_levels"] = f"WITH RECURSIVE e AS (@signal), {REACH}, {DEPTH} SELECT name, level FROM depth"

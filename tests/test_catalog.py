@@ -33,7 +33,7 @@ def got(spark, name):
 
 def test_published_graph_figures(spark):
     assert len(got(spark, "ancestors")) == 8 and len(got(spark, "parents")) == 3
-    assert len(got(spark, "descendants")) == 10  # 11 with the bidirected pair as an edge
+    assert len(got(spark, "descendants")) == 11
     assert len(got(spark, "children_siblings")) == 5
     freq = got(spark, "all_pairs_reachable_len_freq").set_index("d")["n"].to_dict()
     assert freq == {1: 18, 2: 11, 3: 6, 4: 1}

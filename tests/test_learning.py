@@ -84,6 +84,8 @@ def test_adjusted_and_combined():
     assert np.allclose(learning.adjusted(p), [0.04, 0.16 / 3, 0.16 / 3, 0.5])
     assert learning.adjusted(p, "bonferroni") == [0.04, 0.16, 0.12, 1.0]
     assert learning.combined(p, np.ones(4), "positive") < 0.01 < 0.9 < learning.combined(p, np.ones(4), "negative")
+    # a value that has underflowed is the strongest evidence, in either direction
+    assert learning.combined([0.0, 0.5], np.array([-1, 1]), "negative") < 1e-100 < 0.5 < learning.combined([0.0, 0.5], np.array([-1, 1]), "positive")
     # tests that are copies of each other count once
     assert abs(learning.combined([0.02] * 3, np.ones(3), "positive", np.ones((3, 3))) - 0.01) < 0.002
 
