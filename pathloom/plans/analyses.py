@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels, learning, models
+from ..operators import communities, kernels, learning, models
 from ..streaming.moments import event_moments
 from .fits import EDGES, WIDTH, matrix, moments
 
@@ -240,6 +240,34 @@ def streamed_event_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_moments(spark, f"{sf_dir}/events.parquet", f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}")
 
 
+def _communities(find: Callable):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.createDataFrame([(f"v{k}", c) for k, c in enumerate(find(communities.adjacency(EDGES, WIDTH)))], "name string, cluster int")
+
+    return query
+
+
+def communities_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, r = models.correlation(_narrow(spark, sf_dir))
+    weights = {tuple(sorted(e)): 1 - abs(float(r[e])) for e in EDGES}
+    return spark.createDataFrame([(f"v{k}", c) for k, c in enumerate(communities.by_tree(weights, WIDTH))], "name string, cluster int")
+
+
+def centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness, and visits of a walk that restarts at the root."""
+    a = communities.adjacency(EDGES, WIDTH)
+    node, walk = communities.betweenness(a)[0], communities.restart_walk(a, [0])
+    return spark.createDataFrame([(f"v{k}", round(float(node[k]), 6), round(float(walk[k]), 6)) for k in range(WIDTH)], "name string, betweenness double, visits double")
+
+
+def over_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules in which columns that differ between the groups (p below 0.05) are over-represented."""
+    n, r = learning.with_group(_wide(spark, sf_dir))
+    hit = [2 * kernels.normal_survival(abs(c) * math.sqrt((n - 2) / (1 - c * c))) < 0.05 for c in r[0, 1:]]
+    rows = [(f"m{k}", sum(hit[WIDTH * k : WIDTH * (k + 1)])) for k in range(WIDE // WIDTH)]
+    return spark.createDataFrame([(m, h, round(communities.over_representation(h, WIDTH, sum(hit), WIDE), 6)) for m, h in rows], "pathway string, hits int, pvalue double")
+
+
 STREAM_SQL = """
 SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance
 FROM events GROUP BY ALL
@@ -247,12 +275,13 @@ FROM events GROUP BY ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (gene_set_analysis, differential_edges, separation_tests, local_separation_tests, path_finder, module_fits, node_permutation, additive_scores, causal_order, latent_counts, simulated_fit, streamed_event_moments)
+    plain = (gene_set_analysis, differential_edges, separation_tests, local_separation_tests, path_finder, module_fits, node_permutation, additive_scores, causal_order, latent_counts, simulated_fit, streamed_event_moments, communities_tree, centralities, over_representation)
     return (
         {f.__name__: f for f in plain}
         | {"effects_all": _effects("all", "optimal"), "effects_direct": _effects("direct", "parents"), "effects_source2sink": _effects("source2sink", "parents"), "effects_group": _effects("all", "parents", True)}
         | {f"module_score_{k.lower()}": _scores(k) for k in ("LV", "CV", "UV")}
         | {f"model_search_{k}": _search(k) for k in ("basic", "direct", "inner", "outer")}
+        | {f"communities_{k}": _communities(find) for k, find in communities.METHODS.items()}
         | {"kendall_codes": _ordinal(learning.kendall, 64, "tau"), "polychoric_codes": _ordinal(learning.polychoric, 4, "rho")}
     )
 
