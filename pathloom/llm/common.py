@@ -73,6 +73,22 @@ def values(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+#: What tells rows apart in :func:`keyed`.
+ROW_KEY = ["_sha", "_id", "_none"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_sha`` (SHA-256 of the text), ``_id`` and ``_none``: ids compare safely where they are null, and an id on two texts is two rows."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumns({"_sha": sha, "_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
+
+
+def staying(rows: DataFrame, keep: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows whose ``on`` is in ``keep``, one of each. The last step needs no shuffle: the join has dealt and sorted the rows."""
+    return rows.join(keep.select(*on).hint("merge"), list(on), "left_semi").dropDuplicates(list(on))
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

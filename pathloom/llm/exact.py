@@ -7,8 +7,9 @@ own into which the full byte strings go, so equal hashes never merge different t
 the row with the most code points in its original text, then the smallest id. As keys come sorted, subtrees that lie
 wholly before the newest key are final and leave first when a trie is over budget.
 
-Null counts as empty; all-white texts equal the empty one; ties go to the smallest id; rows that repeat an id and text
-share the verdict of that id (``owner_rows`` tells how many rows the owner's id has); other columns are not looked at.
+Null counts as empty; all-white texts equal the empty one; ties go to the smallest id, a null id last; rows that repeat an
+id and text share the verdict of that id (``owner_rows`` tells how many rows the owner's id has); one row of each group
+stays in :func:`dedup`, also where ids are null or stand on several texts; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -39,14 +40,18 @@ class Node:
 
 
 def better(a: list[int] | None, b: list[int]) -> list[int]:
-    """Owners are [code points, id, rows, rows of that id]: the winner's, with the rows of both."""
+    """Owners are [code points, id, rows, rows of that id]: the winner's, with the rows of both. A null id comes last.
+
+    A fifth item, the digest of the owner's text, decides between texts of one length under one id.
+    """
     if a is None:
         return b
     rows = a[2] + b[2]
-    if (a[0], -a[1]) == (b[0], -b[1]):
-        return [a[0], a[1], rows, a[3] + b[3]]
-    win = a if (a[0], -a[1]) > (b[0], -b[1]) else b
-    return [win[0], win[1], rows, win[3]]
+    if (a[0], a[1]) == (b[0], b[1]):
+        return [a[0], a[1], rows, a[3] + b[3], *min(a[4:], b[4:])]
+    first, second = ((x[0], x[1] is not None, -(x[1] or 0)) for x in (a, b))
+    win = a if first > second else b
+    return [win[0], win[1], rows, win[3], *win[4:]]
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -118,8 +123,8 @@ def weight(top: Node) -> int:
     return total
 
 
-PARTIAL = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("key", pa.binary()), ("chars", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("owner_rows", pa.int64())])
-OWNERS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("owner_rows", pa.int64())])
+PARTIAL = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("key", pa.binary()), ("chars", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("owner_rows", pa.int64()), ("text_sha", pa.binary())])
+OWNERS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("owner_rows", pa.int64()), ("text_sha", pa.binary())])
 
 
 def _packed(rows: Iterator[tuple], schema: pa.Schema, limit: int = common.SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -143,14 +148,14 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in common.slices(whole):
                 for doc_id, text in zip(common.values(part, "doc_id"), common.utf8(part), strict=True):
-                    trie.insert(normal(text), [_chars(text), doc_id, 1, 1])
+                    trie.insert(normal(text), [_chars(text), doc_id, 1, 1, hashlib.sha256(text or b"").digest()])
                 if trie.bytes > TRIE_BYTES:
                     yield from map(row, trie.spill())
         yield from map(row, trie.terminals())
 
     def row(found):
-        key, (chars, doc_id, n, own) = found
-        return len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, chars, doc_id, n, own
+        key, (chars, doc_id, n, own, sha) = found
+        return len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, chars, doc_id, n, own, sha
 
     return _packed(rows(), PARTIAL)
 
@@ -164,27 +169,27 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         trie, at = Trie(), None
         for batch in batches:
-            for length, code, key, chars, doc_id, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for length, code, key, chars, doc_id, n, own, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (length, code) != at:
                     yield from map(row, trie.terminals())
                     trie, at = Trie(), (length, code)
                 elif trie.bytes > TRIE_BYTES:
                     yield from map(row, trie.spill(keep=key[0] if key else None))
-                trie.insert(key, [chars, doc_id, n, own])
+                trie.insert(key, [chars, doc_id, n, own, sha])
         yield from map(row, trie.terminals())
 
     def row(found):
-        key, (_, doc_id, n, own) = found
-        return hashlib.sha256(key).digest(), doc_id, n, own
+        key, (_, doc_id, n, own, sha) = found
+        return hashlib.sha256(key).digest(), doc_id, n, own, sha
 
     return _packed(rows(), OWNERS)
 
 
 def owners(docs: DataFrame) -> DataFrame:
-    """One row for each distinct key: its sha, keep_id, group_size, owner_rows."""
-    partial = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_partial, "length long, hash long, key binary, chars long, id long, rows long, owner_rows long")
+    """One row for each distinct key: its sha, keep_id, group_size, owner_rows, text_sha (of the owner's text)."""
+    partial = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_partial, "length long, hash long, key binary, chars long, id long, rows long, owner_rows long, text_sha binary")
     dealt = partial.repartition("length", "hash").sortWithinPartitions("length", "hash", "key")
-    return dealt.mapInArrow(_final, "sha binary, keep_id long, group_size long, owner_rows long")
+    return dealt.mapInArrow(_final, "sha binary, keep_id long, group_size long, owner_rows long, text_sha binary")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +211,6 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat an id, one.
-
-    The last step needs no shuffle: the join has dealt and sorted the rows by id.
-    """
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    ids = owners(docs).select(F.col("keep_id").alias("doc_id"))
-    return docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of equal texts, the owner's, with all its columns."""
+    keep = owners(docs).select(F.col("text_sha").alias("_sha"), F.coalesce("keep_id", F.lit(0)).alias("_id"), F.col("keep_id").isNull().alias("_none"))
+    return common.staying(common.keyed(docs), keep, common.ROW_KEY).select(docs.columns)

@@ -16,7 +16,7 @@ shingle; copies and repeated rows share a fingerprint and count once until the e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,11 +114,10 @@ def bit_counts(h, firsts, counts):
     return out
 
 
-def fingerprints(texts: list[bytes | None], words: int = WORDS):
-    """Fingerprints of UTF-8 texts, as an unsigned array."""
+def shingles(texts: list[bytes | None], words: int = WORDS):
+    """Hashes of the shingles of all UTF-8 texts in a row, repeats included; how many a text has; which texts have any."""
     import numpy as np
 
-    out = np.zeros(len(texts), np.uint64)
     lines, starts, lengths, counts, who, base = [], [], [], [], [], 0
     for i, text in enumerate(texts):
         parts = text.lower().split() if text else []
@@ -135,9 +134,17 @@ def fingerprints(texts: list[bytes | None], words: int = WORDS):
         counts.append(n)
         who.append(i)
         base += len(line)
+    h = xxh64(b"".join(lines), np.concatenate(starts), np.concatenate(lengths)) if who else np.zeros(0, np.uint64)
+    return h, np.array(counts, np.int64), who
+
+
+def fingerprints(texts: list[bytes | None], words: int = WORDS):
+    """Fingerprints of UTF-8 texts, as an unsigned array."""
+    import numpy as np
+
+    out = np.zeros(len(texts), np.uint64)
+    h, counts, who = shingles(texts, words)
     if who:
-        h = xxh64(b"".join(lines), np.concatenate(starts), np.concatenate(lengths))
-        counts = np.array(counts, np.int64)
         votes = bit_counts(h, np.cumsum(counts) - counts, counts)
         bits = (2 * votes > counts[:, None]).astype(np.uint8)
         out[who] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
@@ -229,8 +236,9 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def printed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and signed 64-bit fingerprint of every row."""
+def printed(docs: DataFrame, words: int = WORDS, extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, signed 64-bit fingerprint and the columns ``extra`` of every row."""
+    names = ["doc_id", "fp", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -238,17 +246,23 @@ def printed(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for whole in batches:
             for part in common.slices(whole, limit=2 << 20):
                 fps = fingerprints(common.utf8(part), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    kinds = "".join(f", {c} {given.schema[c].dataType.simpleString()}" for c in extra)
+    return given.mapInArrow(run, f"doc_id long, fp long{kinds}")
+
+
+def rooted(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``prints`` (distinct ``fp``) with the fingerprint that stands for their component as ``root``."""
+    tops = components.stars(links(prints.select("fp"), radius))
+    return prints.join(tops.select(F.col("u").alias("fp"), F.col("v").alias("top")).hint("merge"), "fp", "left").withColumn("root", F.coalesce("top", "fp")).drop("top")
 
 
 def near(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     rows = common.cut(printed(docs, words))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tops = components.stars(links(prints.select("fp"), radius))
-    roots = prints.join(tops.select(F.col("u").alias("fp"), F.col("v").alias("top")).hint("merge"), "fp", "left").select("fp", "least", F.coalesce("top", "fp").alias("root"))
+    roots = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     classes = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(classes.hint("merge"), "root").select("fp", "component_id")
     return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
@@ -260,7 +274,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of rows that repeat an id, one."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    stay = near(docs, words, radius).where("doc_id = component_id").select("doc_id")
-    return docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each component, with all its columns: the smallest id, a null id last, then the smallest digest of the text."""
+    marked = common.keyed(docs)
+    rows = common.cut(printed(marked, words, common.ROW_KEY))
+    prints = rows.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_sha")).alias("least"))
+    keep = rooted(prints, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return common.staying(marked, keep, common.ROW_KEY).select(docs.columns)
