@@ -2,7 +2,7 @@
 
 1. toxicity       documents that the classifier rejects go
 2. exact          one row of each group of equal texts stays
-3. near           one document of each SimHash group stays
+3. near           one document of each group of near copies stays (Jaccard similarity 0.8 of 5-word shingles)
 4. benchmark      documents in which a benchmark window occurs go
 5. pieces         documents are encoded into sampled SentencePiece segmentations
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import common, decontam, exact, pieces, simhash, toxicity
+from pathloom.llm import common, decontam, exact, jaccard, pieces, toxicity
 from pathloom.llm.queries import tokenizer_path
 
 
@@ -26,7 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return jaccard.dedup(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("toxicity", toxicity_stage), ("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("pieces", pieces_stage)]
 
-#: The classifier, SimHash and sampled segmentations have no SQL form; tests compare with brute force.
+#: The classifier, min-hashes and sampled segmentations have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
