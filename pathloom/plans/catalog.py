@@ -12,10 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scalars import adjust, not_close_fit, probit, two_sided
-from ..sources.graphs import relations
+from ..sources.graphs import COLUMNS_DAG, relations
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
 
+#: Nodes that a test of two others can be given: all the rest of the DAG.
+SWEEPS = len({v for e in COLUMNS_DAG for v in e}) - 2
+
 # -- relations that several plans share
 PAIR = "SELECT a.var AS x, b.var AS y, corr(a.value, b.value) AS r, covar_samp(a.value, b.value) AS cov, count(*) AS n FROM (@long) a JOIN (@long) b ON a.obs = b.obs WHERE a.var < b.var GROUP BY a.var, b.var"
 EDGE_DATA = "SELECT e.src, e.dst, a.obs, a.grp, a.value AS xv, b.value AS yv FROM (@dag) e JOIN (@long) a ON a.var = e.src JOIN (@long) b ON b.var = e.dst AND b.obs = a.obs"
@@ -70,7 +73,12 @@ def _plans() -> dict[str, str]:
     p["conditioning_sets"] = f"WITH {basis} SELECT miss.x, miss.y, count(z.z) AS n_z FROM miss LEFT JOIN z ON z.x = miss.x AND z.y = miss.y GROUP BY miss.x, miss.y"
     full = f"c AS (SELECT x, y, r, n FROM ({PAIR}) p UNION ALL SELECT y AS x, x AS y, r, n FROM ({PAIR}) q)"
     p["partial_corr_q1"] = f"WITH {full} SELECT a.x, a.y, b.y AS z, round((a.r - b.r * d.r) / sqrt((1 - b.r * b.r) * (1 - d.r * d.r)), 8) AS pr FROM c a JOIN c b ON b.x = a.x JOIN c d ON d.x = a.y AND d.y = b.y WHERE a.x < a.y AND b.y <> a.y"
-    one = f"WITH {basis}, {full}, k AS (SELECT miss.x, miss.y, count(z.z) AS q, min(z.z) AS z FROM miss LEFT JOIN z ON z.x = miss.x AND z.y = miss.y GROUP BY miss.x, miss.y), pr AS (SELECT k.x, k.y, k.q, a.n, CASE WHEN k.q = 0 THEN a.r ELSE (a.r - b.r * d.r) / sqrt((1 - b.r * b.r) * (1 - d.r * d.r)) END AS r FROM k JOIN c a ON a.x = k.x AND a.y = k.y LEFT JOIN c b ON b.x = k.x AND b.y = k.z LEFT JOIN c d ON d.x = k.y AND d.y = k.z WHERE k.q <= 1)"
+    # the correlations among the ends and conditioning nodes of each missing edge, from which the latter are swept one by one
+    end = lambda i, j: f"max(CASE WHEN i = {i} AND j = {j} THEN r END)"
+    one = f"WITH {basis}, ks AS (SELECT x, y, z, row_number() OVER (PARTITION BY x, y ORDER BY z) AS s FROM z), nd AS (SELECT x, y, x AS node FROM miss UNION ALL SELECT x, y, y AS node FROM miss UNION ALL SELECT x, y, z AS node FROM z), m0 AS (SELECT a.x, a.y, a.node AS i, b.node AS j, CASE WHEN a.node = b.node THEN 1.0 ELSE c.r END AS r, c.n FROM nd a JOIN nd b ON b.x = a.x AND b.y = a.y LEFT JOIN ({PAIR}) c ON c.x = least(a.node, b.node) AND c.y = greatest(a.node, b.node))"
+    for s in range(1, SWEEPS + 1):
+        one += f", m{s} AS (SELECT x, y, i, j, n, CASE WHEN z IS NULL THEN r ELSE r - iz * zj / zz END AS r FROM (SELECT m.x, m.y, m.i, m.j, m.n, m.r, k.z, max(CASE WHEN m.j = k.z THEN m.r END) OVER (PARTITION BY m.x, m.y, m.i) AS iz, max(CASE WHEN m.i = k.z THEN m.r END) OVER (PARTITION BY m.x, m.y, m.j) AS zj, max(CASE WHEN m.i = k.z AND m.j = k.z THEN m.r END) OVER (PARTITION BY m.x, m.y) AS zz FROM m{s - 1} m LEFT JOIN ks k ON k.x = m.x AND k.y = m.y AND k.s = {s}) w WHERE z IS NULL OR (i <> z AND j <> z))"
+    one += f", pr AS (SELECT t.x, t.y, coalesce(k.q, 0) AS q, t.n, t.r FROM (SELECT x, y, max(n) AS n, {end('x', 'y')} / sqrt({end('x', 'x')} * {end('y', 'y')}) AS r FROM m{SWEEPS} GROUP BY x, y) t LEFT JOIN (SELECT x, y, count(*) AS q FROM z GROUP BY x, y) k ON k.x = t.x AND k.y = t.y)"
     p["not_close_fit_p"] = f"{one} SELECT x, y, q AS n_z, round(r, 8) AS estimate, round({not_close_fit('r', 'n', 'q')}, 6) AS pvalue, round(tanh(atanh(r) - 1.96 / sqrt(n - 3.0 - q)), 6) AS lower, round(tanh(atanh(r) + 1.96 / sqrt(n - 3.0 - q)), 6) AS upper FROM pr"
     p["shipley_c_stat"] = f"{one}, t AS (SELECT {not_close_fit('r', 'n', 'q')} AS pv FROM pr) SELECT count(*) AS n_tests, round(sum(-2.0 * ln(pv + 1e-16)), 4) AS c_stat, 2 * count(*) AS df FROM t"
     p["bap_edges_selected"] = f"{one}, t AS (SELECT x, y, {two_sided('atanh(r) * sqrt(n - 3.0 - q)')} AS pv FROM pr), j AS ({adjust('pv', 't', 'BH', 'x, y')}) SELECT x, y, round(padj, 6) AS padj FROM j WHERE padj < 0.5"
