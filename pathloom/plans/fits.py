@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels
+from ..operators import kernels, learning
 from ..sources.graphs import COLUMNS_DAG
 
 WIDTH = 8
@@ -188,15 +188,20 @@ def glasso_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _square(spark, kernels.glasso(r, math.sqrt(math.log(WIDTH) / n))[1])
 
 
+def confounded(r, n: int, alpha: float = 0.05) -> list[tuple[int, int]]:
+    """Missing edges that stay dependent given the parents of both ends, at adjusted p-values."""
+    gaps = learning.missing(EDGES, WIDTH)
+    padj = learning.adjusted([learning.basis_test(r, n, EDGES, e)[2] for e in gaps])
+    return [e for e, q in zip(gaps, padj, strict=True) if q < alpha]
+
+
 def bap_decorrelate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows multiplied by the inverse root of the covariance graph of the strongest missing edges."""
+    """Rows multiplied by the inverse root of the covariance graph of the confounded missing edges."""
     import numpy as np
 
     n, r = pooled(moments(matrix(spark, sf_dir)))
-    known = {frozenset(e) for e in EDGES}
-    missing = [(i, j) for i in range(WIDTH) for j in range(i) if frozenset((i, j)) not in known]
-    strong = [e for e in missing if abs(math.atanh(r[e])) * math.sqrt(n - 3) > 1.96]
-    root = kernels.power(kernels.covariance_graph(r, strong), -0.5)
+    strong = confounded(r, n)
+    root = kernels.power(kernels.covariance_graph(r, strong), -0.5) if strong else np.eye(WIDTH)
     return _multiplied(spark, sf_dir, root)
 
 
