@@ -2,8 +2,8 @@
 
 Texts and templates are folded to words. A region is a run of words in which a template's telling words (not function
 words) are at most ``GAP`` words apart; a region whose words cannot cover ``COVERAGE`` of the template, counted as
-multisets, is passed over, which loses no match. Within a region (and, where it is longer than the template, within windows that begin at
-each place of the template's first words) text and template are aligned: words that are unique on both sides are anchors, the
+multisets, is passed over, which loses no match. Within windows that begin at each place of the template's first words, in a
+short region also as a whole and again in what is left around its matches, text and template are aligned: words that are unique on both sides are anchors, the
 longest increasing subsequence of them is kept, gaps between anchors are aligned the same way, and equal words at the ends
 of a gap are matched. Coverage is the share of the template's words that are matched.
 
@@ -109,20 +109,32 @@ class Scanner:
         if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(template):
             return []
         reach = len(template) + len(template) // 3 + 2
+        found = self.windows(words, start, end, reach, template)
         if end - start <= reach + 2 * GAP:
-            begins, reach = [start], end - start
-        else:
-            heads = {*template[: max(1, len(template) - int(self.coverage * len(template)) + 1)]}
-            begins = [k for k in range(start, end) if words[k] in heads]
+            whole = self.match(words, start, end, template)
+            if whole and (not found or len(found) == 1 and whole[0] >= found[0][0]):
+                found = [whole]
+            if found:  # what lies around the places may hold others
+                cuts = [start, *(k for _, first, last in found for k in (first, last + 1)), end]
+                rest = [x for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for x in self.region(words, a, b, name, template, counts)]
+                return sorted([*rest, *((name, share, first, last) for share, first, last in found)], key=lambda x: x[2])
+        return [(name, share, first, last) for share, first, last in found]
+
+    def match(self, words, start, end, template) -> tuple[float, int, int] | None:
+        """(coverage, first word, last word) of the template between two places, if it is there."""
+        pairs = align(words[start:end], template)
+        if len(pairs) < self.coverage * len(template):
+            return None
+        return len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0]
+
+    def windows(self, words, start, end, reach, template) -> list[tuple[float, int, int]]:
+        """Matches in windows that begin at the template's first words, none within another."""
+        heads = {*template[: max(1, len(template) - int(self.coverage * len(template)) + 1)]}
         out, past = [], start
-        for begin in begins:
-            if begin < past:
-                continue
-            pairs = align(words[begin : min(end, begin + reach)], template)
-            if len(pairs) >= self.coverage * len(template):
-                first, last = begin + pairs[0][0], begin + pairs[-1][0]
-                out.append((name, len(pairs) / len(template), first, last))
-                past = last + 1
+        for begin in (k for k in range(start, end) if words[k] in heads):
+            if begin >= past and (found := self.match(words, begin, min(end, begin + reach), template)):
+                out.append(found)
+                past = found[2] + 1
         return out
 
 
