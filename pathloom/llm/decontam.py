@@ -4,11 +4,14 @@ Texts are folded to words (``A-Z`` lower-cased; every other ASCII character that
 A window is ``window`` consecutive words of an item, or the whole of a shorter item. A document is scanned once; a word
 inside any occurrence of any window is hit, and hit runs are given as code-point offsets of the original text.
 
-The automaton goes to every worker, so its size is checked: items beyond ``automaton_bytes`` of text are split by a
-hash of their id into several automata, which scan one after the other and whose hits are merged.
-
-Null and empty texts have no words; an item without words never occurs; repeated item rows count once; repeated
-documents give repeated rows; an empty benchmark leaves every document clean; other columns are not looked at.
+The automaton runs over words, not characters: every word of the items is one code point, any other word another one, so
+a state is a word of a window. It goes to every worker, so its size is checked: items beyond ``automaton_bytes`` of text
+are split by a hash of their text into several automata, through which every row passes with the hits so far. A row's answer
+depends on that row and the items only, whatever the limit.
+
+Null and empty texts have no words; an item without words never occurs; the windows of an item without an id are hit but it
+is not among the items found; repeated item rows count once; rows with null or repeated ids are rows like others; an
+empty benchmark leaves every document clean; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +30,11 @@ WINDOW = 10
 AUTOMATON_BYTES = 4 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+STATE = "runs array<struct<first:int,last:int>>, items array<long>"
 SCAN = "doc_id long, n_words long, n_hit long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>, items array<long>"
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+#: Code points that stand for words: one for every word that no item has, surrogates left out.
+_OTHER, _FIRST, _LAST = 0x10FFFF, 1, 0x10FFFE
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,38 +44,44 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Automaton:
     """All windows of the items, each with its word count and the items that have it."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         import ahocorasick
 
-        owners: dict[str, tuple[int, set[int]]] = {}
+        self.codes: dict[bytes, str] = {}
+        owners: dict[str, set[int]] = {}
         for item, text in items:
-            words = words_of(text)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1) if n else ():
-                key = (b" " + b" ".join(words[i : i + n]) + b" ").decode("latin-1")
-                owners.setdefault(key, (n, set()))[1].add(item)
+            line = "".join(map(self.code, words_of(text)))
+            n = min(window, len(line))
+            for i in range(len(line) - n + 1) if n else ():
+                ids = owners.setdefault(line[i : i + n], set())
+                if item is not None:
+                    ids.add(item)
         self.found = ahocorasick.Automaton()
-        for key, (n, ids) in owners.items():
-            self.found.add_word(key, (n, tuple(ids)))
+        for key, ids in owners.items():
+            self.found.add_word(key, (len(key), tuple(ids)))
         self.empty = not owners
         if owners:
             self.found.make_automaton()
 
+    def code(self, word: bytes) -> str:
+        if word not in self.codes:
+            at = _FIRST + len(self.codes)
+            at += 0x800 if at >= 0xD800 else 0
+            if at > _LAST:
+                raise ValueError("the items of one automaton have more words than there are code points; lower automaton_bytes")
+            self.codes[word] = chr(at)
+        return self.codes[word]
+
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[int]]:
         """Number of words, hit runs as (first, last) word, sorted ids of the items that occur."""
-        import numpy as np
-
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], []
-        line = b" " + b" ".join(words) + b" "
-        hits = list(self.found.iter(line.decode("latin-1")))
+        get, other = self.codes.get, chr(_OTHER)
+        hits = list(self.found.iter("".join([get(w, other) for w in words])))
         if not hits:
             return len(words), [], []
-        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        lasts = np.searchsorted(spaces, [end for end, _ in hits]) - 1
-        pairs = sorted((int(last) - n + 1, int(last)) for last, (_, (n, _)) in zip(lasts, hits, strict=True))
-        return len(words), merged(pairs), sorted({i for _, (_, ids) in hits for i in ids})
+        return len(words), merged(sorted((last - n + 1, last) for last, (n, _) in hits)), sorted({i for _, (_, ids) in hits for i in ids})
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,70 +101,51 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b][1]) for a, b in runs]
 
 
-def _scan_pass(docs: DataFrame, items: list[tuple[int, bytes | None]], window: int) -> DataFrame:
+def item_groups(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[list[tuple[int | None, bytes | None]]]:
+    """The items in groups of about ``limit`` bytes, by a hash of their text; one group where they fit."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // limit) or 1
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield [(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in part.toLocalIterator()]
+
+
+def _scan_pass(docs: DataFrame, items: list, window: int, last: bool) -> DataFrame:
+    """doc_id, text and the state, with what one automaton hits added; the last pass gives the result in their place."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(shared.value, window)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])
         for whole in batches:
             for part in common.slices(whole):
-                rows = []
-                for doc_id, text in zip(common.values(part, "doc_id"), common.utf8(part), strict=True):
-                    n, runs, ids = automaton.scan(text)
-                    spans = offsets(text.decode(), runs) if runs else []
-                    rows.append({"doc_id": doc_id, "n_words": n, "n_hit": sum(b - a + 1 for a, b in runs), "runs": [{"first": a, "last": b} for a, b in runs], "spans": [{"start": a, "end": b} for a, b in spans], "items": ids})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
-
-
-def item_groups(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[list[tuple[int, bytes | None]]]:
-    """The items in groups of about ``limit`` bytes, by a hash of their id; one group where they fit."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // limit) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in part.toLocalIterator()]
+                counts, runs, ids, spans = [], [], [], []
+                for text, old, known in zip(common.utf8(part), common.values(part, "runs"), common.values(part, "items"), strict=True):
+                    n, hit, found = automaton.scan(text)
+                    if old:
+                        hit = merged(sorted({*hit, *((r["first"], r["last"]) for r in old)}))
+                    counts.append((n, sum(b - a + 1 for a, b in hit)))
+                    runs.append([{"first": a, "last": b} for a, b in hit])
+                    ids.append(sorted({*found, *known}))
+                    spans.append([{"start": a, "end": b} for a, b in offsets(text.decode(), hit)] if last and hit else [])
+                state = [pa.array(runs, _RUNS), pa.array(ids, pa.list_(pa.int64()))]
+                if last:
+                    numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]
+                    places = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *numbers, state[0], places, state[1]], names=["doc_id", "n_words", "n_hit", "runs", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *state], names=["doc_id", "text", "runs", "items"])
+
+    return docs.mapInArrow(run, SCAN if last else f"doc_id long, text string, {STATE}")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row for each document: words, hit words, hit runs and their offsets, items that occur."""
-    passes = [_scan_pass(docs, items, window) for items in item_groups(benchmark, automaton_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    return _joined(passes, docs)
-
-
-def _joined(passes: list[DataFrame], docs: DataFrame) -> DataFrame:
-    """Merges what several automata found; each pass gives the documents in the same order."""
-    every = passes[0].withColumn("_pass", F.lit(0))
-    for k, one in enumerate(passes[1:], 1):
-        every = every.unionByName(one.withColumn("_pass", F.lit(k)))
-
-    def merge(pdf):
-        import pandas as pd
-
-        copies = int((pdf["_pass"] == 0).sum())
-        runs = merged(sorted({(r["first"], r["last"]) for x in pdf["runs"] for r in x}))
-        spans = merged_half_open(sorted({(r["start"], r["end"]) for x in pdf["spans"] for r in x}))
-        items = sorted({int(i) for x in pdf["items"] for i in x})
-        row = {"doc_id": pdf["doc_id"].iloc[0], "n_words": int(pdf["n_words"].iloc[0]), "n_hit": sum(b - a + 1 for a, b in runs), "runs": [{"first": a, "last": b} for a, b in runs], "spans": [{"start": a, "end": b} for a, b in spans], "items": items}
-        return pd.DataFrame([row] * copies)
-
-    return every.groupBy("doc_id").applyInPandas(merge, SCAN)
-
-
-def merged_half_open(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping intervals joined; the ends are exclusive."""
-    out: list[tuple[int, int]] = []
-    for start, end in pairs:
-        if out and start < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
+    groups = list(item_groups(benchmark, automaton_bytes))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.expr(f"cast(array() as {t})").alias(c) for c, t in (x.split(" ", 1) for x in STATE.split(", "))])
+    for k, items in enumerate(groups):
+        rows = _scan_pass(rows, items, window, k == len(groups) - 1)
+    return rows
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,10 +2,10 @@
 
 A text's key is its UTF-8 without the characters ``[\\x20\\x09-\\x0D]``. Each input partition first inserts its keys into a
 compressed radix trie; a trie over its budget is spilled by subtree, the heaviest first, as partial owners. Partial
-owners are dealt by length and content hash and sorted by key; each such length-and-hash partition has a trie of its
-own into which the full byte strings go, so equal hashes never merge different texts. A terminal node stores the owner:
-the row with the most code points in its original text, then the smallest id. As keys come sorted, subtrees that lie
-wholly before the newest key are final and leave first when a trie is over budget.
+owners are dealt by length and content hash; each such partition sorts its keys and has one trie for all of them, into
+which the full byte strings go, so equal hashes never merge different texts. A terminal node stores the owner: the row
+with the most code points in its original text, then the smallest id. As keys come sorted, subtrees that lie wholly before
+the newest key are final and leave when a trie is over budget. Rows then find their terminal by the SHA-256 of its key.
 
 Null counts as empty; all-white texts equal the empty one; ties go to the smallest id, a null id last; rows that repeat an
 id and text share the verdict of that id (``owner_rows`` tells how many rows the owner's id has); one row of each group
@@ -94,9 +94,22 @@ class Trie:
     def terminals(self) -> Iterator[tuple[bytes, list[int]]]:
         yield from walk(self.root, b"")
 
-    def spill(self, keep: int | None = None) -> Iterator[tuple[bytes, list[int]]]:
-        """Takes subtrees out, the heaviest first, until half the bytes are gone; not the one that begins with ``keep``."""
-        below = {c: weight(kid) for c, kid in self.root.kids.items() if c != keep}
+    def before(self, key: bytes) -> Iterator[tuple[bytes, list[int]]]:
+        """Takes out all that lies wholly before ``key``, the newest of sorted keys: subtrees beside its path, and owners on it."""
+        node, at, self.bytes = self.root, 0, 0
+        while at < len(key):
+            if node.owner:
+                yield key[:at], node.owner
+                node.owner = None
+            for c in [c for c in node.kids if c != key[at]]:
+                yield from walk(node.kids.pop(c), key[:at])
+            node = node.kids[key[at]]
+            at += len(node.label)
+            self.bytes += len(node.label) + 200
+
+    def spill(self) -> Iterator[tuple[bytes, list[int]]]:
+        """Takes subtrees out, the heaviest first, until half the bytes are gone."""
+        below = {c: weight(kid) for c, kid in self.root.kids.items()}
         for c in sorted(below, key=below.get, reverse=True):
             if self.bytes <= TRIE_BYTES // 2:
                 return
@@ -167,15 +180,12 @@ def _chars(text: bytes | None) -> int:
 
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        trie, at = Trie(), None
+        trie = Trie()
         for batch in batches:
-            for length, code, key, chars, doc_id, n, own, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (length, code) != at:
-                    yield from map(row, trie.terminals())
-                    trie, at = Trie(), (length, code)
-                elif trie.bytes > TRIE_BYTES:
-                    yield from map(row, trie.spill(keep=key[0] if key else None))
+            for key, chars, doc_id, n, own, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 trie.insert(key, [chars, doc_id, n, own, sha])
+                if trie.bytes > TRIE_BYTES:
+                    yield from map(row, trie.before(key))
         yield from map(row, trie.terminals())
 
     def row(found):
@@ -188,8 +198,8 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(docs: DataFrame) -> DataFrame:
     """One row for each distinct key: its sha, keep_id, group_size, owner_rows, text_sha (of the owner's text)."""
     partial = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_partial, "length long, hash long, key binary, chars long, id long, rows long, owner_rows long, text_sha binary")
-    dealt = partial.repartition("length", "hash").sortWithinPartitions("length", "hash", "key")
-    return dealt.mapInArrow(_final, "sha binary, keep_id long, group_size long, owner_rows long, text_sha binary")
+    dealt = partial.repartition("length", "hash").sortWithinPartitions("key")
+    return dealt.drop("length", "hash").mapInArrow(_final, "sha binary, keep_id long, group_size long, owner_rows long, text_sha binary")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +216,7 @@ def groups(docs: DataFrame) -> DataFrame:
     sort-merge join of two shuffled sides, so adaptive execution splits it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id long, sha binary")
-    kept = F.col("doc_id") == F.col("keep_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return rows.join(owners(docs).hint("merge"), "sha").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "owner_rows")
 
 

@@ -92,7 +92,7 @@ WITH d AS (
 ), h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + k)) AS r(p) GROUP BY doc_id
 ), it AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -14,11 +14,11 @@ in ascending order of doc_id over all files.
 
 Texts are encoded by the ``tokenizers`` library. As its pre-tokenizer starts a new piece at every space that a
 non-space follows, a text is cut there and ids of cut pieces are kept in a bounded cache; pieces that are not in it go
-through the library. Strings of special tokens in a text are ordinary text.
+through the library, and so do whole texts that hold the string of a special token, which the library gives its own id.
 
 Files are written under a name of the attempt and then renamed, so that a repeated task leaves one whole file. Null
-counts as empty: only the end id; an empty table writes no file; repeated rows are records of their own; other columns
-are not looked at.
+counts as empty: only the end id; an empty table writes no file; repeated rows are records of their own; null ids come
+first and are stored as ``NO_ID``; rows of one id are in the order of a hash of their texts; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from . import common
 
 MAGIC = b"PLRECIDX"
 END_ID = 2
+#: What the index holds where the id is null.
+NO_ID = -(1 << 63)
 #: Entries of a worker's cache, and the longest piece that enters it.
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 40
@@ -90,7 +92,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.split = self.lib.model, self.lib.pre_tokenizer.pre_tokenize_str
         self.code, self.known, self.letters = {2: "H", 4: "I"}[width], {}, byte_letters()
 
@@ -136,7 +139,7 @@ class Encoder:
         return parts[0], parts[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        cut = [(t, []) if self.special and self.special.search(t) else self.pieces(t) for t in texts]
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
@@ -192,7 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
                 for doc_id, packed in zip(common.values(some, "doc_id"), ids, strict=True):
                     frame = framed(packed + tail)
                     out.write(frame)
-                    index.append(struct.pack("<qqq", doc_id, at, before))
+                    index.append(struct.pack("<qqq", NO_ID if doc_id is None else doc_id, at, before))
                     at, before = at + len(frame), before + len(packed) // width + 1
         if out is None:
             return
@@ -204,7 +207,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, widt
             filesystem.move(attempt + name[-4:], f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(names[:1]), pa.array(names[1:]), pa.array([len(index)], pa.int64()), pa.array([before], pa.int64()), pa.array([0], pa.int64())], names=MANIFEST.replace(",", "").split()[::2])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = given.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     rows, total = [], 0
     for row in sorted(ordered.mapInArrow(run, MANIFEST).collect()):  # one row for each file
         rows.append((*row[:5], total))
@@ -243,7 +247,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                         f.seek(base)
                         data = f.read(ends[j - 1] - base)
                         ids = [np.frombuffer(unframed(data, at - base), f"<u{width}").astype("<u4").tobytes() for _, at, _ in index[i:j]]
-                        yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in index[i:j]], pa.int64()), pa.array([row["before"] + b for _, _, b in index[i:j]], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array([None if d == NO_ID else d for d, _, _ in index[i:j]], pa.int64()), pa.array([row["before"] + b for _, _, b in index[i:j]], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                         i = j
 
     return manifest.repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

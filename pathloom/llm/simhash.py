@@ -8,7 +8,9 @@ Candidates come from covering masks (Pagh 2016): every bit position gets a non-z
 and mask v leaves out the positions whose vector is orthogonal to v. For any ``radius`` positions some v leaves all of
 them out, so each pair within the radius agrees under one mask: recall is exactly 1. A bucket is the distinct fingerprints that agree
 under one mask. Buckets are sorted streams, compared block against block and contracted to a spanning forest, so
-neither pairs nor a whole bucket are ever held; a hot bucket is split into pairs of blocks which separate tasks compare.
+neither pairs nor a whole bucket are ever held; a larger bucket is split into pairs of blocks which separate tasks compare.
+A hot bucket, for which those would be more rows than masks, is dealt again under a second family of covering masks: these
+tell its members apart by the bits that the first mask left out, and again miss no pair.
 
 Null, empty and all-white texts have fingerprint zero and are linked like any other; fewer words than a shingle make one
 shingle; copies and repeated rows share a fingerprint and count once until the end; other columns are not looked at.
@@ -16,6 +18,7 @@ shingle; copies and repeated rows share a fingerprint and count once until the e
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -151,14 +154,18 @@ def fingerprints(texts: list[bytes | None], words: int = WORDS):
     return out
 
 
-def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
+def masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> list[int]:
     """2^(radius+1) - 1 covering masks.
 
     Position i has the non-zero vector m(i) = i mod (2^(radius+1) - 1) + 1; mask v keeps the positions with an odd number of common bits of
     m(i) and v. Vectors of ``radius`` positions span at most ``radius`` dimensions, so a non-zero v is orthogonal to all of them.
+    Other families deal the vectors to the positions in another order.
     """
     n = (1 << radius + 1) - 1
-    return [sum(1 << i for i in range(bits) if ((i % n + 1) & v).bit_count() % 2) for v in range(1, n + 1)]
+    vector = [i % n + 1 for i in range(bits)]
+    if family:
+        random.Random(family).shuffle(vector)
+    return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def _signed(x: int) -> int:
@@ -184,15 +191,30 @@ def linked(left, right, radius: int, same: bool):
     return pairs
 
 
+def _dealt(prints: DataFrame, kept: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(mask, key, fp): what each fingerprint keeps under each mask, apart by the column ``before``; and the sizes of buckets of two or more.
+
+    Keys that ``before`` tells apart are hashes; equal ones of two buckets would only be compared in vain.
+    """
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(kept)]))
+    rows = prints.select("fp", "before", key.alias("b")).select("b.mask", F.when(F.col("before") == 0, F.col("b.key")).otherwise(F.xxhash64("before", "b.key")).alias("key"), "fp")
+    return rows, common.cut(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) between distinct fingerprints with the same components as all links of ``radius`` or fewer bits.
 
     ``prints`` has one signed long column ``fp`` of distinct values.
     """
-    kept = [_signed(m) for m in masks(radius)]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(kept)]))
-    dealt = prints.select("fp", keys.alias("b")).select("b.mask", "b.key", "fp")
-    sizes = common.cut(dealt.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    dealt, sizes = _dealt(prints.select("fp", F.lit(0).alias("before")), masks(radius))
+    hot = sizes.where(F.col("n") > len(masks(radius)) * block)
+    if hot.take(1):
+        calm = dealt.join(hot.select("mask", "key").hint("merge"), ["mask", "key"], "left_anti")
+        again = dealt.join(hot.select("mask", "key").hint("merge"), ["mask", "key"], "left_semi")
+        more, sizes_again = _dealt(again.select("fp", F.xxhash64("mask", "key").alias("before")), masks(radius, family=1))
+        first = len(masks(radius))
+        dealt = calm.unionByName(more.withColumn("mask", F.col("mask") + first))
+        sizes = sizes.where(F.col("n") <= first * block).unionByName(sizes_again.withColumn("mask", F.col("mask") + first))
     # pair (i, j) of blocks, i <= j: a row of block b goes to the pairs that have b; one pair for a bucket of one block
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -263,7 +285,8 @@ def near(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     rows = common.cut(printed(docs, words))
     roots = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
-    classes = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first: the join then deals its left side apart from this sum, so that adaptive execution can split a hot root
+    classes = common.cut(roots.groupBy("root").agg(F.min("least").alias("component_id")))
     named = roots.join(classes.hint("merge"), "root").select("fp", "component_id")
     return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
@@ -273,8 +296,16 @@ def report(docs: DataFrame) -> DataFrame:
     return near(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, with all its columns: the smallest id, a null id last, then the smallest digest of the text."""
+def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """One row of each component, with all its columns: the smallest id, a null id last, then the smallest digest of the text.
+
+    Where a ``similarity`` is given, links are the pairs whose sets of shingles have that Jaccard similarity or more, and
+    fingerprints within the radius are candidates of it (see :mod:`jaccard`).
+    """
+    if similarity is not None:
+        from . import jaccard
+
+        return jaccard.dedup(docs, words, similarity, radius=radius)
     marked = common.keyed(docs)
     rows = common.cut(printed(marked, words, common.ROW_KEY))
     prints = rows.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_sha")).alias("least"))

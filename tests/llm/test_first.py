@@ -147,7 +147,6 @@ def test_records(docs, awkward, empty, tmp_path):
 
     path = queries.tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     got = sorted(map(tuple, records.report(docs, path).collect()))
     import numpy as np
 
@@ -213,10 +212,10 @@ def test_masks_cover_every_pair_in_the_radius():
     rng = random.Random(6)
     for _ in range(3000):
         diff = sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
-        assert any(not m & diff for m in simhash.masks())
+        assert any(not m & diff for m in simhash.masks()) and any(not m & diff for m in simhash.masks(family=1))
 
 
-@pytest.mark.parametrize("block", [3, 2048])
+@pytest.mark.parametrize("block", [1, 3, 2048])
 def test_links_keep_all_components(spark, block):
     rng = random.Random(7)
     fps = {0, (1 << 64) - 1}
@@ -233,6 +232,19 @@ def test_links_keep_all_components(spark, block):
     assert components.forest(iter(edges)) == want
 
 
+def test_a_hot_bucket_is_dealt_again(spark):
+    rng = random.Random(9)
+    low = [b for b in range(64) if not simhash.masks()[0] >> b & 1]  # all agree under the first mask
+    fps = {0}
+    for _ in range(60):
+        x = sum(1 << b for b in rng.sample(low, 12))
+        fps |= {x, x ^ 1 << rng.choice(low)}
+    fps = sorted(fps)
+    want = components.forest((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4)
+    edges = [tuple(x % (1 << 64) for x in r) for r in simhash.links(spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long"), block=2).collect()]
+    assert components.forest(iter(edges)) == want
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000, 2000)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(150)]

@@ -38,8 +38,9 @@ def planted(seed=7, n=60):
     return near, far
 
 
-@pytest.mark.parametrize("block", [1024, 1])
-def test_near_stage_finds_all_planted_copies_and_no_others(spark, block):
+@pytest.mark.parametrize(("block", "pivots"), [(1024, 16), (1, 16), (1, 0), (1, 1)])
+def test_near_stage_finds_all_planted_copies_and_no_others(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     near, far = planted()
     rows = [(2 * k + e, t, "en") for k, pair in enumerate(near + far) for e, t in enumerate(pair)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
@@ -66,3 +67,32 @@ def test_null_and_reused_ids_lose_no_text(spark):
     a, b, c = ("one clean text about rivers and hills", "another text on bread and a long winter", "a third text of machines and glass")
     docs = spark.createDataFrame([(None, a, None), (None, b, None), (5, c, None), (5, a + " x y z u v w", None), (None, c, None)], SCHEMA)
     assert sorted(map(tuple, jaccard.dedup(docs).select("doc_id", "text").collect()), key=str) == sorted([(None, a), (None, b), (5, c), (5, a + " x y z u v w")], key=str)
+
+
+def test_a_hot_group_of_several_blocks_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for k in rng.sample(range(200), 2):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.sample(base, 100)) for _ in range(5)]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = sorted(r["doc_id"] for r in jaccard.dedup(docs, block=10).collect())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if similarity(texts[a], texts[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert got == sorted(set(root))
+
+
+def test_fingerprints_within_the_radius_are_candidates(spark):
+    reps = spark.createDataFrame([(5, [1], 0), (7, [2], 15), (9, [3], 0), (11, [4], -1)], "sid long, bands array<long>, fp long")
+    edges = [(r["u"], r["v"]) for r in jaccard.candidates(reps).collect()]
+    from pathloom.llm import components
+
+    assert components.forest(iter(edges)) == {7: 5, 9: 5}
