@@ -6,14 +6,15 @@
 4. benchmark      documents in which a benchmark window occurs go
 5. pieces         documents are encoded into sampled SentencePiece segmentations
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``. A null text counts as empty; rows with null or repeated ids are rows like
+others, told apart by id and text; of ties the smallest id stays, a null id last; an empty table passes as one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import common, decontam, exact, jaccard, pieces, toxicity
+from pathloom.llm import common, decontam, exact, pieces, simhash, toxicity
 from pathloom.llm.queries import tokenizer_path
 
 
@@ -26,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.dedup(docs)
+    return simhash.dedup(docs, words=5, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
