@@ -7,7 +7,7 @@ change of language, labels spans; words in a script that no language uses score
 the one whose spans hold the most letters (then the first in the alphabet), and its score is their share of all letters.
 
 The model is fitted on a bounded sample: of each language about ``SAMPLE_ROWS`` labelled documents of the training folds,
-those with the least hashes of their ids. The number of languages is bounded too (``MOST_LANGS``; more are refused).
+those with the least hashes of their ids. It takes 256 KB for each language.
 
 Null texts and texts without a letter are ``und`` with score 0; a model without languages says ``und`` everywhere; rows
 that repeat get equal rows; an empty table gives no rows; other columns are not looked at.
@@ -28,7 +28,6 @@ ORDER = 4
 BITS = 16
 #: Labelled documents of each language that are used for fitting, about.
 SAMPLE_ROWS = 1000
-MOST_LANGS = 500
 FOLDS, HELD = 4, 2
 SWITCH = 12.0
 #: What a language loses on a word in a script it doesn't use, and the share of letters that makes a script used.
@@ -168,38 +167,42 @@ class Labeller:
         lengths = np.array([len(x) for x in texts if x], np.int64)
         return viterbi(self.table[rows], lengths) if len(rows := self.rows(texts)) else np.zeros(0, np.int16)
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
+        """Language and score of each text, and its spans: (start, end, language) in code points, the end exclusive."""
         import numpy as np
 
         words = [WORD.findall(t) if t else [] for t in texts]
         words = [w if w and (w[0].isalpha() or any(c.isalpha() for x in w for c in x)) else [] for w in words]
         n = len(self.model.langs)
         if not n:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         labels = self.labels(words)
         letters = np.fromiter((len(w) for x in words for w in x), np.float64, len(labels))
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in words])
         shares = np.bincount(doc * n + labels, letters, len(texts) * n).reshape(-1, n)
         top, total = shares.argmax(axis=1), shares.sum(axis=1)
         share = shares.max(axis=1) / np.maximum(total, 1)
-        return [self.model.langs[k] if some else "und" for k, some in zip(top, total, strict=True)], share.tolist()
+        change = np.ones(len(labels), bool)
+        change[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
+        first = np.cumsum([0, *map(len, words)])
+        runs = np.split(np.flatnonzero(change), np.searchsorted(np.flatnonzero(change), first[1:-1]))
+        found = [self.spans(t, w, r.tolist(), at, labels) if w else [] for t, w, r, at in zip(texts, words, runs, first.tolist(), strict=False)]
+        return [self.model.langs[k] if some else "und" for k, some in zip(top, total, strict=True)], share.tolist(), found
+
+    def spans(self, text: str, words: list[str], runs: list[int], at: int, labels) -> list[tuple[int, int, str]]:
+        """The runs of equal labels, which begin at the words ``runs`` of all words; the text's first word is ``at``."""
+        langs = [self.model.langs[labels[k]] for k in runs]
+        end = text.rindex(words[-1]) + len(words[-1])  # no letter follows the last word
+        if len(runs) == 1:
+            return [(WORD.search(text).start(), end, langs[0])]
+        places = [m.span() for m in WORD.finditer(text)]
+        ends = [places[k - at - 1][1] for k in runs[1:]] + [end]
+        return [(places[k - at][0], e, lang) for k, e, lang in zip(runs, ends, langs, strict=True)]
 
 
 def spans(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str]]]:
     """(start, end, language) of the spans of each text, in code points, the end exclusive."""
-    found = [[(m.start(), m.end(), m[0]) for m in WORD.finditer(t)] if t else [] for t in texts]
-    labels = iter(Labeller(model).labels([[w for *_, w in x] for x in found]).tolist()) if model.langs else iter(())
-    out = []
-    for words in found if model.langs else []:
-        runs: list[tuple[int, int, str]] = []
-        for start, end, _ in words:
-            lang = model.langs[next(labels)]
-            if runs and runs[-1][2] == lang:
-                runs[-1] = (runs[-1][0], end, lang)
-            else:
-                runs.append((start, end, lang))
-        out.append(runs)
-    return out or [[] for _ in texts]
+    return Labeller(model).documents(texts)[2]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -207,9 +210,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     import numpy as np
 
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(common.crc_mod("doc_id", FOLDS) != HELD)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros((len(NAMES), 0), bool))
@@ -234,19 +235,20 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     found = picked.mapInArrow(run, "at long, lang long, n double").groupBy("at", "lang").agg(F.sum("n").alias("n")).toArrow()
     sums[found["at"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     counts, scripts = sums[: 1 << BITS] + SMOOTH, sums[1 << BITS :]
-    return Model(langs, np.log(counts) - np.log(counts.sum(axis=0)), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+    return Model(langs, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
 
 
 def report(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred, score and spans (``lang:start:end``, comma-joined) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for whole in batches:
             for part in common.slices(whole):
-                langs, score = labeller.documents(common.values(part, "text"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                langs, score, found = labeller.documents(common.values(part, "text"))
+                places = [",".join(f"{lang}:{a}:{b}" for a, b, lang in x) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(places, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", (common.crc_mod("doc_id", FOLDS) == HELD).alias("held_out"), "lang_pred", "score")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans string")
+    return found.select("doc_id", (common.crc_mod("doc_id", FOLDS) == HELD).alias("held_out"), "lang_pred", "score", "spans")

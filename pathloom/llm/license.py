@@ -1,14 +1,16 @@
 """License scans by patience alignment of texts with license templates.
 
 Texts and templates are folded to words. A region is a run of words in which a template's telling words (not function
-words) are at most ``GAP`` words apart; a region whose words cannot cover ``COVERAGE`` of the template, counted as
-multisets, is passed over, which loses no match. Within windows that begin at each place of the template's first words, in a
-short region also as a whole and again in what is left around its matches, text and template are aligned: words that are unique on both sides are anchors, the
-longest increasing subsequence of them is kept, gaps between anchors are aligned the same way, and equal words at the ends
-of a gap are matched. Coverage is the share of the template's words that are matched.
-
-Null and empty texts have no license; several licenses, and several places of one, are all reported; of equal coverage the
-longer template comes first; repeated rows give equal rows; an empty table gives no rows; other columns are not looked at.
+words) are at most ``GAP`` words apart. From each place of a region that holds one of the template's first words, windows of
+``REACHES`` times the template's words are aligned with it, whatever the region's length; a window whose words cannot cover
+``COVERAGE`` of the template, counted as multisets, is passed over, which loses no match. The window with the best coverage
+counts, of equal ones the shortest, and the search goes on behind it. In an alignment words that are unique on both sides are
+anchors, the longest increasing subsequence of them is kept, gaps between anchors are aligned the same way, and equal words
+at the ends of a gap are matched. Coverage is the share of the template's words that are matched.
+
+Templates are whole public license texts (``licenses/``), shorter ones and usual notices below. Null and empty texts have no
+license; several licenses, and several places of one, are all reported; of equal coverage the longer place comes first, then
+the earlier; null ids and repeated rows give rows like others; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from bisect import bisect_left
+from functools import cache
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +30,8 @@ from .decontam import offsets, words_of
 
 COVERAGE = 0.8
 GAP = 12
+#: Lengths of the windows that are aligned, in template lengths.
+REACHES = (4 / 3, 8 / 3, 16 / 3)
 #: Words that templates share with any English text.
 FUNCTION_WORDS = frozenset(b"a an and any are as at be by for from has have if in into is it its may no not of on or other shall so such that the their this to was were which will with you your".split())
 #: Public license notices, by SPDX name.
@@ -34,14 +40,20 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 
 
+@cache
+def templates() -> dict[str, str]:
+    """Name to text: the notices and short texts above, and the whole texts in the package's folder."""
+    whole = {f.name.removesuffix(".txt"): f.read_text() for f in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    return TEMPLATES | whole
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of pairs (sorted by the first) whose second numbers increase, by patience piles."""
     tops: list[int] = []
@@ -105,20 +117,35 @@ class Scanner:
         return sorted(out, key=lambda x: (-x[1], x[2] - x[3], x[2], x[0]))
 
     def region(self, words, start, end, name, template, counts) -> list[tuple[str, float, int, int]]:
-        have = Counter(words[start:end])
-        if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(template):
-            return []
-        reach = len(template) + len(template) // 3 + 2
-        found = self.windows(words, start, end, reach, template)
-        if end - start <= reach + 2 * GAP:
-            whole = self.match(words, start, end, template)
-            if whole and (not found or len(found) == 1 and whole[0] >= found[0][0]):
-                found = [whole]
-            if found:  # what lies around the places may hold others
-                cuts = [start, *(k for _, first, last in found for k in (first, last + 1)), end]
-                rest = [x for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b for x in self.region(words, a, b, name, template, counts)]
-                return sorted([*rest, *((name, share, first, last) for share, first, last in found)], key=lambda x: x[2])
-        return [(name, share, first, last) for share, first, last in found]
+        """Matches between two places, none within another."""
+        need = self.coverage * len(template)
+        heads = {*template[: max(1, len(template) - int(need) + 1)]}
+        reaches = [int(r * len(template)) + 2 for r in REACHES]
+        out, past, left, right, can, have = [], start, start, start, 0, Counter()
+        for begin in range(start, end):
+            # what the largest window from here can match at most
+            while right < min(end, begin + reaches[-1]):
+                w, right = words[right], right + 1
+                if w in counts:
+                    have[w] += 1
+                    can += have[w] <= counts[w]
+            while left < begin:
+                w, left = words[left], left + 1
+                if w in counts:
+                    can -= have[w] <= counts[w]
+                    have[w] -= 1
+            if begin < past or can < need or words[begin] not in heads:
+                continue
+            best = None
+            for reach in reaches:
+                found = self.match(words, begin, min(end, begin + reach), template)
+                best = found if found and (best is None or found[0] > best[0]) else best
+                if begin + reach >= end:
+                    break
+            if best:
+                out.append((name, *best))
+                past = best[2] + 1
+        return out
 
     def match(self, words, start, end, template) -> tuple[float, int, int] | None:
         """(coverage, first word, last word) of the template between two places, if it is there."""
@@ -127,23 +154,13 @@ class Scanner:
             return None
         return len(pairs) / len(template), start + pairs[0][0], start + pairs[-1][0]
 
-    def windows(self, words, start, end, reach, template) -> list[tuple[float, int, int]]:
-        """Matches in windows that begin at the template's first words, none within another."""
-        heads = {*template[: max(1, len(template) - int(self.coverage * len(template)) + 1)]}
-        out, past = [], start
-        for begin in (k for k in range(start, end) if words[k] in heads):
-            if begin >= past and (found := self.match(words, begin, min(end, begin + reach), template)):
-                out.append(found)
-                past = found[2] + 1
-        return out
-
 
 SCAN = "doc_id long, licenses array<struct<license:string,coverage:double,start:int,end:int>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, given: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """The licenses of every document, with coverage and code-point offsets in the original text."""
-    given = dict(TEMPLATES if templates is None else templates)
+    given = templates() if given is None else dict(given)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,9 @@ least ``DISCLOSES`` times that content is a disclosing term: its occurrences bec
 documents. Sanitised texts have base spans generalised to their kind, disclosing terms generalised to ``[TERM]``, and
 terms that reach ``REMOVES`` times the content removed.
 
-Candidates are counted with map-side sums, and the words of whole texts against them in groups of ``TERMS_PER_PASS`` terms,
-so what workers hold is bounded; with more terms there are more passes, and the same goes for marking.
+Candidates are counted with map-side sums, and so are their occurrences in whole texts; where there are more candidates than
+a worker is to hold (``TERMS_PER_PASS``), all words are counted and the sums joined. Marking takes a pass for each group of so
+many terms. Results are the same either way.
 
 Null counts as empty; documents without personal data count towards the statistics; repeated rows count as often as they
 are there; an empty table gives no rows; other columns are not looked at.
@@ -93,12 +94,17 @@ def joined(spans: list[Span]) -> str:
 def contexts(text: str, spans: list[Span]) -> Counter:
     """(kind, term) to its places within the window of a span of the kind; (kind, '') to all such places."""
     words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
-    covered = sorted((a, b) for _, a, b in spans)
+    covered: list[list[int]] = []  # disjoint, by start
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
     free, k = [], 0
     for a, b, w in words:
         while k < len(covered) and covered[k][1] <= a:
             k += 1
-        if not any(x < b and a < y for x, y in covered[k : k + 4]):
+        if k == len(covered) or covered[k][0] >= b:
             free.append((a, w))
     starts, out = [a for a, _ in free], Counter()
     import bisect
@@ -153,21 +159,18 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
     around = common.cut(_counted(docs, near).where((F.col("term") == "") | (F.col("n") >= SUPPORT)))
     places = {r["kind"]: r["n"] for r in around.where("term = ''").collect()}  # one row for each kind
-    every, out = 0, None
-    for first, group in enumerate(_groups(around.where("term <> ''").select("term").distinct())):
-        shared = spark.sparkContext.broadcast(frozenset(r["term"] for r in group))
-
-        def words(text: str, total: Counter, shared=shared, first=first) -> None:
-            found, known = WORD.findall(text.lower()), shared.value
-            if not first:
-                total["", ""] += len(found)
-            total.update(("", w) for w in found if w in known)
-
-        totals = common.cut(_counted(docs, words))
-        if not first:
-            every = (totals.where("term = ''").agg(F.sum("n")).first()[0] or 0) if places else 0
-        part = totals.where("term <> ''").select("term", F.col("n").alias("of"))
-        out = part if out is None else out.unionByName(part)
+    terms = around.where("term <> ''").select("term").distinct()
+    few = terms.count() <= TERMS_PER_PASS
+    shared = spark.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()) if few else None)
+
+    def words(text: str, total: Counter) -> None:
+        found, known = WORD.findall(text.lower()), shared.value
+        total["", ""] += len(found)
+        total.update(("", w) for w in found if known is None or w in known)
+
+    totals = common.cut(_counted(docs, words))
+    every = (totals.where("term = ''").agg(F.sum("n")).first()[0] or 0) if places else 0
+    out = totals.where("term <> ''").select("term", F.col("n").alias("of"))
     content = {k: -math.log2(n / max(every, n + 1)) for k, n in places.items() if n}
     bits = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(content.get(k)).cast("double"))])[F.col("kind")]
     rate = F.log2(F.least(F.lit(1.0), F.col("n") / F.col("of")))

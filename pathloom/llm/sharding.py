@@ -4,11 +4,12 @@ Groups are rows with equal texts; all rows of a group go to one shard. Groups so
 open bin with the least remaining capacity that still holds them, found in a balanced (AVL) tree of remaining capacities;
 where none holds it a new bin opens. Groups of equal size are one class and enter together: the tightest bin stays the
 tightest until it is full, so a class is packed by division, with the same outcome as one group after another. The
-driver sees sizes and counts of the classes only; as distinct sizes add up to at most the total, there are never more than
-sqrt(2 x total bytes) of them. Which group of a class comes first follows the digest of its text.
+driver sees sizes and counts of the classes only. Sizes of more than ``SIZE_BITS`` bits count as rounded up to so many leading bits
+(an excess of 1/2048 at most), so there are at most 2^11 classes for each power of two, whatever the input. Which group of a
+class comes first follows the digest of its text.
 
-``pack`` minimises the number of bins of a fixed capacity; ``fair`` finds the least capacity at which a given number of
-bins suffices, after giving a bin of its own to every group that is larger than an equal share.
+``pack`` minimises the number of bins of a fixed capacity; ``fair`` takes the least capacity that a bisection finds at which a given
+number of bins suffices, after giving a bin of its own to every group that is larger than an equal share.
 
 A null text has no bytes and is a group of its own kind, apart from the empty text; its crc32 is that of the empty text.
 Rows that repeat stay together and get slots of their own; an empty table gives no rows; other columns are not looked at.
@@ -19,12 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+#: Leading bits of a group's size that tell classes apart.
+SIZE_BITS = 12
+
+
 class Tree:
     """An AVL tree of (remaining capacity, bin), with the least entry at or above a bound."""
 
@@ -164,6 +169,12 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), digest.alias("digest"))
 
 
+def classed(size: Column) -> Column:
+    """The size, rounded up to ``SIZE_BITS`` leading bits."""
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(size)) - SIZE_BITS)).cast("long")
+    return (F.ceil(size / step) * step).cast("long")
+
+
 def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row.
 
@@ -177,7 +188,10 @@ def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = No
     spark = docs.sparkSession
     rows = rows_of(docs)
     sized = rows.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n")).select("digest", (F.col("size") * F.col("n")).alias("bytes"))
-    order = sized.select((-F.col("bytes")).alias("less"), "digest")
+    counted = classed(F.col("bytes"))
+    if capacity:
+        counted = F.when(F.col("bytes") <= capacity, F.least(counted, F.lit(capacity))).otherwise(counted)
+    order = sized.select((-counted).alias("less"), "digest")
     groups, laid = common.numbered(order, ["less", "digest"])
     classes = [(-r["less"], r["n"]) for r in laid.groupBy("less").agg(F.count(F.lit(1)).alias("n")).orderBy("less").toLocalIterator()]
     runs = fair(classes, shards) if shards else pack(classes, capacity)

@@ -4,13 +4,14 @@ Features are the distinct character n-grams (orders ``ORDERS``, lower-cased, has
 text. A feature's value is the log ratio of its smoothed document counts in toxic and clean training texts (Wang and
 Manning 2012); a logistic regression with L2 penalty is fitted on these values by AdaGrad. Only text and label go into it.
 
-The classifier is fitted on a bounded sample: the ``sample_rows`` labelled documents of the training folds with the
-least hash of their id. Fitting streams over them in one task; all other work is one pass over the documents, whose
+The classifier is fitted on a bounded sample: the ``SAMPLE_ROWS`` labelled documents of the training folds with the
+least hash of their id; of several rows of one id the text with the least hash. Fitting streams over them in one task; all other work is one pass over the documents, whose
 workers get the weights (2^BITS floats, 1 MB).
 
 Null and empty texts score the intercept; several labels of a document count as toxic if one is; labels without a document
-are passed over; without labelled rows of both kinds every score is the share of toxic labels (0 without labels); ties at
-0.5 are predicted toxic; repeated documents get equal rows; other columns are not looked at.
+are passed over; where labelled rows are all of one kind every score is that kind's (1 or 0, to 1e-17), and 0 without any; ties at
+0.5 are predicted toxic; repeated documents get equal rows; rows with null ids are scored and are in the held-out fold of
+none (null); other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,11 +103,13 @@ def fit(rows: Iterator[tuple[str | None, int]], seed: int = 7) -> tuple:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of the training sample. The join's small side has ``rows`` ids at most."""
+    """text and label of the training sample, one row for each of ``rows`` ids at most, which the join's small side has."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
-    picked = known.where(common.crc_mod("doc_id", FOLDS) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    there = known.where(common.crc_mod("doc_id", FOLDS) != 0).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("t"), F.max("label").alias("label"))
+    return one.select("doc_id", "t.text", F.col("label").cast("int").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple:

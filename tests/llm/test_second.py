@@ -58,6 +58,129 @@ def test_mixed_spans(docs):
     assert [x[2] for x in found[0]] == ["en", "de"] and found[1] == []
 
 
+def test_spans_are_in_the_report(docs):
+    rows = {r["doc_id"]: r for r in langid.report(docs).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert rows[1]["spans"] == f"en:0:{len(text[1].rstrip())}" and rows[1000]["spans"] == ""
+    model = langid.train(docs)
+    mixed = ["12 the of and that with from the of 7 der und die nicht eine der und die. !", None, "the of and", "?", "der und die nicht " * 3 + "that with from of " * 3]
+    for t, found in zip(mixed, langid.spans(mixed, model), strict=True):
+        words = [(m.start(), m.end()) for m in langid.WORD.finditer(t or "")]
+        assert [a for a, *_ in found[:1]] == [a for a, _ in words[:1]] and [b for _, b, _ in found[-1:]] == [b for _, b in words[-1:]]
+        assert all(x[1] < y[0] and x[2] != y[2] and (x[1] in [b for _, b in words]) and (y[0] in [a for a, _ in words]) for x, y in itertools.pairwise(found))
+    assert len(langid.spans(mixed, model)[4]) == 2
+
+
+def test_distinct_grams_and_scores_equal_brute_force():
+    rng = random.Random(8)
+    grams, w = toxicity.Grams(), np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32)
+    score = toxicity.scorer((w, 0.25))
+    for _ in range(60):
+        t = "".join(rng.choice("abAÉ日 .") for _ in range(rng.randrange(30)))
+        line = f" {t.lower()} "
+        want = set()
+        for n in toxicity.ORDERS:
+            for k in range(len(line) - n + 1):
+                h = 0
+                for c in line[k : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % (1 << 64)
+                want.add((((h ^ (h >> 29)) * (0xBF58476D1CE4E5B9 + 2 * n)) % (1 << 64)) >> (64 - toxicity.BITS))
+        assert sorted(grams.of(t).tolist()) == sorted(want)
+        assert score(t) == pytest.approx(1 / (1 + math.exp(-min(40, max(-40, float(w[sorted(want)].astype(float).sum()) + 0.25)))), abs=1e-4)
+
+
+def test_the_classifier_scales_features_by_log_count_ratios():
+    rows = [("bad words here", 1), ("bad thing", 1), ("fine words here", 0), ("fine thing", 0), ("fine day", 0), ("bad day", 1)] * 3
+    w, b = toxicity.fit(iter(rows))
+    grams = toxicity.Grams()
+    both = set(grams.of("thing").tolist()) - set(grams.of("bad").tolist())
+    lists = [set(toxicity.Grams().of(t).tolist()) for t, _ in rows]
+    ratio = {k: sum(k in x for x, (_, y) in zip(lists, rows, strict=True) if y) - sum(k in x for x, (_, y) in zip(lists, rows, strict=True) if not y) for k in set().union(*lists)}
+    assert all(w[k] == 0 for k in np.flatnonzero(w == 0)) and all(w[k] > 0 for k in grams.of("bad").tolist() if ratio.get(k, 0) > 0 and w[k])
+    score = toxicity.scorer((w, b))
+    assert both and all((score(t) >= 0.5) == bool(y) for t, y in rows)
+
+
+def test_repeated_labelled_ids_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, 10).collect()
+    assert all(r["label"] == (r["doc_id"] == 1) for r in got) and len({r["doc_id"] for r in got}) == len(got) and {r["doc_id"] for r in got} <= {1, 2}
+
+
+def test_contexts_skip_words_within_any_span():
+    text = "alpha u@ex.com beta +1 222 333 4444 gamma"
+    found = pii.contexts(text, [("email", 6, 14), ("phone", 20, 35), ("card", 22, 30)])
+    assert {t for _, t in found if t} == {"alpha", "beta", "gamma"}
+
+
+def test_many_candidates_give_the_same_terms(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["w" + "".join(rng.choice("abcdef") for _ in range(3)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + (f" mailto u{i}@ex.com" if i % 10 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(tuple, pii.disclosing(docs).collect()))
+    monkeypatch.setattr(pii, "TERMS_PER_PASS", 3)
+    assert few and sorted(map(tuple, pii.disclosing(docs).collect())) == few
+
+
+def brute_disclosing(texts):
+    """Terms and ratios by the definition, all places counted one by one."""
+    n, of, places, every = {}, {}, {}, 0
+    for t in texts:
+        spans = pii.base_spans(t)
+        found = [(m.start(), m.end(), m[0].lower()) for m in pii.WORD.finditer(t or "")]
+        every += len(found)
+        for *_, w in found:
+            of[w] = of.get(w, 0) + 1
+        free = [f for f in found if not any(a < f[1] and f[0] < b for _, a, b in spans)]
+        for kind in {s[0] for s in spans}:
+            near = set()
+            for _, start, _ in (s for s in spans if s[0] == kind):
+                before = [k for k, f in enumerate(free) if f[0] < start]
+                after = [k for k, f in enumerate(free) if f[0] >= start]
+                near |= {*before[-pii.WINDOW :], *after[: pii.WINDOW]}
+            places[kind] = places.get(kind, 0) + len(near)
+            for k in near:
+                n[kind, free[k][2]] = n.get((kind, free[k][2]), 0) + 1
+    out = []
+    for (kind, w), k in n.items():
+        bits = -math.log2(places[kind] / max(every, places[kind] + 1))
+        ratio = (math.log2(min(1, k / of[w])) + bits) / bits
+        if k >= pii.SUPPORT and ratio >= pii.DISCLOSES:
+            out.append((w, kind, ratio))
+    return sorted(out)
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = ["w" + "".join(rng.choice("abcdef") for _ in range(2)) for _ in range(40)]
+    extra = ["mail me@ex.org", "call +1 222 333 4444", "host 10.0.0.1 a@b.cc", "ring +49 30 1234567 now", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + " " + rng.choice(extra) + " " + rng.choice(words) for _ in range(300)] + [None, ""]
+    got = sorted(tuple(r) for r in pii.disclosing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    want = brute_disclosing(texts)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and want
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+@pytest.mark.parametrize("limit", [1, 150, 1 << 22])
+def test_rows_with_null_or_repeated_ids(spark, limit):
+    from pathloom.llm import decontam, exact, records, sharding, simhash
+
+    docs = spark.createDataFrame([(None, "one two three"), (None, "clean"), (1, "one two three"), (1, "other words"), (None, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, "one two"), (8, "words"), (None, "three"), (9, "one two")], "item_id long, text string")
+    rows = sorted(map(tuple, decontam.report(docs, bench, automaton_bytes=limit).collect()), key=str)
+    want = [(None, 3, 3, 2, [7, 9]), (None, 1, 0, 0, []), (1, 3, 3, 2, [7, 9]), (1, 2, 1, 1, [8]), (None, 0, 0, 0, [])]
+    assert rows == sorted(((i, n, h, k, decontam.digest(ids), h > 0) for i, n, h, k, ids in want), key=str)
+    if limit > 1000:
+        path = queries.tokenizer_path("byte_bpe_50k.json")
+        found = records.report(docs, path).orderBy("start").collect()
+        assert [r["doc_id"] for r in found] == [None, None, None, 1, 1] and found == records.report(docs.repartition(1), path).orderBy("start").collect()
+        for op in (exact.groups, sharding.report, simhash.report, pii.report, license.report):
+            assert op(docs).count() == 5
+        assert sorted((r["doc_id"], r["kept"]) for r in exact.groups(docs).collect() if r["doc_id"]) == [(1, True), (1, True)]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     lengths = np.array([1, 4, 5, 2])
@@ -104,7 +227,7 @@ def test_disclosing_terms_become_spans(spark, empty):
 
 
 def test_licenses(spark, docs, empty):
-    mit = license.TEMPLATES["MIT"]
+    mit = license.TEMPLATES["MIT"].strip()
     noise = "lorem ipsum " * 200
     rows = [(1, noise + mit + noise), (2, noise + mit.replace("deal in", "deal with") + noise + mit), (3, noise), (4, None), (5, "x. Licensed under CC BY-NC 4.0. y"), (6, "the license is for you")]
     got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
