@@ -63,11 +63,12 @@ def stars(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         # large-star: neighbours above a vertex are linked to the smallest neighbour, itself included
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written first: a join then deals its left side apart from the sum, so that adaptive execution can split a hot vertex
+        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: neighbours below a vertex, and itself, are linked to the smallest of them
-        down = contracted(large).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = common.cut(contracted(large).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+        least = common.cut(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = common.cut(small.where("u <> v").distinct())
         tops = new.select("u").intersect(new.select("v")).limit(1)  # done when no vertex is both below and above

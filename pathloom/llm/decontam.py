@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,8 +78,7 @@ class Automaton:
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], []
-        get, other = self.codes.get, chr(_OTHER)
-        hits = list(self.found.iter("".join([get(w, other) for w in words])))
+        hits = list(self.found.iter("".join(map(self.codes.get, words, repeat(chr(_OTHER))))))
         if not hits:
             return len(words), [], []
         return len(words), merged(sorted((last - n + 1, last) for last, (n, _) in hits)), sorted({i for _, (_, ids) in hits for i in ids})

@@ -177,16 +177,16 @@ def links(marked: DataFrame, reps: DataFrame, words: int = WORDS, similarity: fl
     placed = whole.join(sizes.hint("merge"), "comp").withColumn("blocks", blocks)
     placed = common.cut(placed.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
 
-    def with_texts(some: DataFrame) -> DataFrame:
-        named = reps.select("sid", *common.ROW_KEY).join(some.hint("merge"), "sid")
-        return marked.select(*common.ROW_KEY, "text").join(named.hint("merge"), common.ROW_KEY).dropDuplicates(common.ROW_KEY)
-
-    small = _compared(with_texts(placed.where("blocks = 1")).select("comp", "sid", "text"), ["comp"], words, similarity)
+    # the texts of candidates, one of each set, move once
+    named = reps.select("sid", *common.ROW_KEY).join(placed.hint("merge"), "sid")
+    texts = marked.select(*common.ROW_KEY, "text").join(named.hint("merge"), common.ROW_KEY).dropDuplicates(common.ROW_KEY)
+    texts = common.cut(texts.select("comp", "blocks", "own", "n", "sid", "text"))
+    small = _compared(texts.where("blocks = 1").select("comp", "sid", "text"), ["comp"], words, similarity)
     large = placed.where("blocks > 1")
     if not large.take(1):
         return small
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = with_texts(large).withColumn("pivot", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("n")) < PIVOTS)
+    texts = texts.where("blocks > 1").withColumn("pivot", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("n")) < PIVOTS)
     first = texts.where("pivot").withColumn("own", every).unionByName(texts.where("not pivot"))
     found = common.cut(_pivoted(first.select("comp", "own", "sid", "pivot", "text"), words, similarity))
     # what the pivots don't join into the largest class of its component goes against all blocks
@@ -198,7 +198,7 @@ def links(marked: DataFrame, reps: DataFrame, words: int = WORDS, similarity: fl
     if not todo.take(1):
         return small.unionByName(found)
     against = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
-    rows = with_texts(todo)
+    rows = texts.select("sid", "text").join(todo.hint("merge"), "sid")
     pairs = rows.withColumn("part", against).unionByName(rows.where("part is not null").withColumn("own", every))
     return small.unionByName(found).unionByName(_compared(pairs.select("comp", "own", "part", "sid", "text"), ["comp", "own", "part"], words, similarity))
 
