@@ -41,6 +41,24 @@ def dag_ols(s: np.ndarray, parents: dict[int, list[int]], n: int) -> list[tuple[
     return out
 
 
+def node_wise(s: np.ndarray, parents: dict[int, list[int]], n: int) -> list[tuple[int, int, float, float]]:
+    """(child, parent, estimate, standard error) of de-biased regressions: a lasso, corrected by the parents' sparse precision."""
+    out = []
+    for j, pa in parents.items():
+        if not pa:
+            continue
+        x, xy = s[np.ix_(pa, pa)], s[pa, j]
+        if len(pa) > 1:
+            lam = math.sqrt(math.log(len(pa) + 1) / n) if len(pa) + 1 > n else 1e-3
+            b, wi = lasso(x, xy, lam), glasso(x, lam)[1] / n
+            b = b + wi @ (xy - x @ b)
+        else:
+            b, wi = xy / np.diag(x), np.array([[1 / (n * x[0, 0])]])
+        rest = math.sqrt(max(s[j, j] - 2 * b @ xy + b @ x @ b, 0))
+        out += [(j, k, float(v), rest * math.sqrt(wi[i, i])) for i, (k, v) in enumerate(zip(pa, b, strict=True))]
+    return out
+
+
 def ricf(s: np.ndarray, directed: list[tuple[int, int]], bidirected: list[tuple[int, int]], tol: float = 1e-6, most: int = 500):
     """Residual iterative conditional fitting of a mixed graph: (B, Omega, Sigma, iterations)."""
     p = len(s)
@@ -66,6 +84,8 @@ def ricf(s: np.ndarray, directed: list[tuple[int, int]], bidirected: list[tuple[
             omega[j, j] = rest_var + w @ inner @ w
         if np.abs(beta - before[0]).sum() + np.abs(omega - before[1]).sum() < tol:
             break
+    else:
+        raise RuntimeError(f"no fit within {most} iterations")
     inv = np.linalg.inv(np.eye(p) - beta)
     return beta, omega, inv @ omega @ inv.T, step
 
@@ -80,6 +100,68 @@ def fit_indices(s: np.ndarray, sigma: np.ndarray, n: int, npar: int, fixed: int
     return {"dev": float(dev), "df": df, "srmr": float(np.sqrt(((s - sigma)[low] ** 2).mean())), "rmsea": math.sqrt(max(dev - df, 0) / (df * (n - 1))) if df else 0.0, "n": n, "npar": npar}
 
 
+def all_indices(s: np.ndarray, sigma: np.ndarray, n: int, npar: int, fixed: int = 0) -> dict[str, float]:
+    """``fit_indices`` with what compares to the model of independence (cfi, tli), the ULS goodness of fit and the p of a close rmsea."""
+    out = fit_indices(s, sigma, n, npar, fixed)
+    p = len(s)
+    base, base_df = max(-n * np.linalg.slogdet(s)[1], 0.0), p * (p - 1) / 2
+    dev, df = out["dev"], out["df"]
+    worst = max(base - base_df, dev - df, 1e-12)
+    out["cfi"] = 1 - max(dev - df, 0.0) / worst
+    out["tli"] = (base / base_df - dev / df) / (base / base_df - 1) if df and base_df and base != base_df else 1.0
+    out["gfi"] = 1 - float(((s - sigma) ** 2).sum() / (s**2).sum())
+    out["p_rmsea"] = noncentral_survival(dev, df, 0.05**2 * n * df) if df else 1.0
+    return out
+
+
+def noncentral_survival(x: float, df: float, ncp: float) -> float:
+    """Survival of a noncentral chi-square: Poisson mixture of central ones around its largest weights."""
+    half, start = ncp / 2, int(ncp / 2)
+    total = weights = 0.0
+    for way in (range(start, start + 2000), range(start - 1, -1, -1)):
+        for k in way:
+            w = math.exp(-half + k * math.log(half) - math.lgamma(k + 1)) if half > 0 else float(k == 0)
+            total, weights = total + w * chi2_survival(x, df + 2 * k), weights + w
+            if w < 1e-14:
+                break
+    return min(1.0, total / weights) if weights else 1.0
+
+
+def information_errors(beta: np.ndarray, omega: np.ndarray, n: int, places: list[tuple[str, int, int]]) -> np.ndarray:
+    """Standard errors of paths ("~", child, parent) and (co)variances ("~~", i, j) from the expected information."""
+    p = len(beta)
+    inv = np.linalg.inv(np.eye(p) - beta)
+    sigma = inv @ omega @ inv.T
+    white = power(sigma, -0.5)
+    rows = []
+    for op, i, j in places:
+        if op == "~":
+            change = np.outer(inv[:, i], sigma[j])
+            change = change + change.T
+        else:
+            change = np.outer(inv[:, i], inv[:, j])
+            change = change + change.T if i != j else change
+        rows.append((white @ change @ white).ravel())
+    if not rows:
+        return np.zeros(0)
+    g = np.array(rows)
+    return np.sqrt(np.maximum(np.diag(np.linalg.pinv(n / 2 * g @ g.T)), 0))
+
+
+def correlated_columns(r: np.ndarray, cutoff: float = 0.99) -> list[int]:
+    """Columns to drop so that no pair correlates above the cutoff: of the strongest pair left, the one nearer to all others."""
+    a, out = np.abs(r).copy(), []
+    np.fill_diagonal(a, 0)
+    left = list(range(len(r)))
+    while len(left) > 1:
+        sub = a[np.ix_(left, left)]
+        i, j = np.unravel_index(sub.argmax(), sub.shape)
+        if sub[i, j] <= cutoff:
+            break
+        out.append(left.pop(int(i) if sub[i].mean() >= sub[j].mean() else int(j)))
+    return sorted(out)
+
+
 def lasso(gram: np.ndarray, xy: np.ndarray, lam: float, weights: np.ndarray | None = None, tol: float = 1e-9, most: int = 2000) -> np.ndarray:
     """Coordinate descent for 1/2 b'Gb - b'xy + lam * sum(w |b|); weights are scaled to add up to their number."""
     w = np.ones(len(xy)) if weights is None else np.asarray(weights, float)
@@ -139,6 +221,29 @@ def spectral(x_gram: np.ndarray, method: str, q: int) -> np.ndarray:
     return (v * f) @ v.T
 
 
+def laplacian_components(r: np.ndarray, edges: list[tuple[int, int]], q: int) -> np.ndarray:
+    """Weights of ``q`` components that vary over the graph's groups: leading vectors of a blend of the correlations and the
+    signed Laplacian of the graph, as graph-Laplacian principal components. A graph in more than three parts has the Laplacian alone.
+    """
+    p = len(r)
+    adjacent = np.zeros((p, p))
+    for a, b in edges:
+        adjacent[a, b] = adjacent[b, a] = 1
+    signed = r * adjacent
+    lap = np.diag(np.abs(signed).sum(axis=0)) - signed
+    if not adjacent.any():
+        blend = 0.0
+    else:
+        reach, parts = np.linalg.matrix_power(np.eye(p) + adjacent, p) > 0, 0
+        parts = len({tuple(row) for row in reach})
+        blend = 1.0 if parts > 3 else 0.75
+    # small values of g: the shares of largest correlation, smoothest over the graph
+    g = (1 - blend) * (np.eye(p) - r / np.linalg.eigvalsh(r)[-1])
+    if blend:
+        g = g + blend * (lap / max(np.linalg.eigvalsh(lap)[-1], 1e-12) + np.full((p, p), 1 / p))
+    return np.linalg.eigh(g)[1][:, :q]
+
+
 def factors(s: np.ndarray, q: int, most: int = 1000, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
     """(loadings, uniquenesses) of a factor model by EM on the covariance."""
     values, vectors = np.linalg.eigh(s)
@@ -171,42 +276,60 @@ def layers(s: np.ndarray, eta: float) -> list[list[int]]:
 def arborescence(weights: np.ndarray) -> list[tuple[int, int]]:
     """Chu-Liu-Edmonds: the branching with the largest total weight among those that span all nodes from one root.
 
-    ``weights[i, j]`` is that of i -> j.
+    ``weights[i, j]`` is that of i -> j. A virtual root leads to all nodes at a cost that allows one such edge.
     """
     p = len(weights)
-    best: tuple[float, list[tuple[int, int]]] = (-np.inf, [])
-    for root in range(p):
-        edges = _branching({(i, j): weights[i, j] for i in range(p) for j in range(p) if i != j and j != root}, root, set(range(p)))
-        total = sum(weights[i, j] for i, j in edges)
-        if total > best[0]:
-            best = (total, sorted(edges))
-    return best[1]
-
-
-def _branching(w: dict[tuple[int, int], float], root: int, nodes: set[int]) -> list[tuple[int, int]]:
-    into = {v: max((e for e in w if e[1] == v), key=lambda e: (w[e], -e[0])) for v in nodes if v != root}
-    for start in into:
+    if p < 2:
+        return []
+    w = np.full((p + 1, p + 1), -np.inf)
+    w[:p, :p] = weights
+    np.fill_diagonal(w, -np.inf)
+    w[p, :p] = -(np.abs(weights).sum() + 1)
+    return sorted((int(a), int(b)) for b, a in _branching(w, p).items() if a != p)
+
+
+def _branching(w: np.ndarray, root: int) -> dict[int, int]:
+    """Node to parent in the best branching from ``root``; missing edges weigh minus infinity. Cycles of best parents are
+    contracted, one level each, and opened again from the last on.
+    """
+    w, alive, levels = w.copy(), set(range(len(w))), []
+    inner = {v: {v} for v in alive}  # the nodes that a contracted one stands for
+    source = [{j: (i, j) for j in range(len(w))} for i in range(len(w))]  # the edge that stands behind i -> j
+    while True:
+        up = {v: max((u for u in alive if u != v), key=lambda u: (w[u, v], -u)) for v in alive if v != root}
+        cycle = _cycle(up)
+        if not cycle:
+            break
+        new = cycle[0]  # the cycle goes on under its first node
+        inside = {v: (w[up[v], v], source[up[v]][v]) for v in cycle}
+        gain, entry = {}, {}
+        for u in alive - set(cycle):
+            best = max(cycle, key=lambda v: (w[u, v] - inside[v][0], -v))
+            gain[u], entry[u] = w[u, best] - inside[best][0], source[u][best]
+            leave = max(cycle, key=lambda v: (w[v, u], -v))
+            w[new, u], source[new][u] = w[leave, u], source[leave][u]
+        for u, x in gain.items():
+            w[u, new], source[u][new] = x, entry[u]
+        levels.append([(inside[v][1], inner[v]) for v in cycle])
+        alive -= set(cycle) - {new}
+        inner[new] = set().union(*(inner[v] for v in cycle))
+    found = {source[u][v][1]: source[u][v][0] for v, u in up.items()}
+    for edges in reversed(levels):  # a node of the cycle keeps its parent there unless an edge from outside has come in
+        found |= {b: a for (a, b), own in edges if own.isdisjoint(found)}
+    return found
+
+
+def _cycle(up: dict[int, int]) -> list[int]:
+    done: set[int] = set()
+    for start in up:
         path, at = [], start
-        while at in into and at not in path:
+        while at in up and at not in done and at not in path:
             path.append(at)
-            at = into[at][0]
+            at = up[at]
         if at in path:
-            cycle = path[path.index(at) :]
-            break
-    else:
-        return list(into.values())
-    merged, name, new, origin = set(cycle), max(nodes) + 1, {}, {}
-    for (i, j), x in w.items():
-        if i in merged and j in merged:
-            continue
-        e = (i, name) if j in merged else (name, j) if i in merged else (i, j)
-        x = x - w[into[j]] if j in merged else x
-        if e not in new or x > new[e]:
-            new[e], origin[e] = x, (i, j)
-    inner = _branching(new, root, (nodes - merged) | {name})
-    out = [origin[e] for e in inner]
-    entry = next(v for _, v in out if v in merged)
-    return out + [into[v] for v in cycle if v != entry]
+            return sorted(path[path.index(at) :])
+        done.update(path)
+    return []
 
 
 def shortest(weights: dict[tuple[int, int], float], start: int) -> tuple[dict[int, float], dict[int, int]]:
@@ -330,5 +453,32 @@ def chi2_survival(x: float, df: float) -> float:
     return scale * h
 
 
+def student_survival(t: float, df: float) -> float:
+    """P(T > t) of Student's t, by the continued fraction of the incomplete beta function."""
+    x = df / (df + t * t)
+    half = beta_regular(df / 2, 0.5, x) / 2
+    return half if t >= 0 else 1 - half
+
+
+def beta_regular(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_regular(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # modified Lentz evaluation
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 1000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * h
+
+
 def normal_survival(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))

@@ -51,9 +51,9 @@ def acyclic(edges: list[Edge], p: int, strength: np.ndarray) -> list[Edge]:
     return sorted(taken)
 
 
-def separated(edges: list[Edge], p: int, x: int, y: int, given: set[int]) -> bool:
-    """d-separation: x and y fall apart in the moral graph of the ancestors once ``given`` is taken out."""
-    d = distances(edges, p)
+def separated(edges: list[Edge], p: int, x: int, y: int, given: set[int], d: np.ndarray | None = None) -> bool:
+    """d-separation: x and y fall apart in the moral graph of the ancestors once ``given`` is taken out. ``d`` are known distances."""
+    d = distances(edges, p) if d is None else d
     kept = {v for v in range(p) if any(np.isfinite(d[v, t]) for t in {x, y} | given)}
     near: dict[int, set[int]] = {v: set() for v in kept}
     for v, pa in enumerate(parents(edges, p)):
@@ -70,11 +70,11 @@ def separated(edges: list[Edge], p: int, x: int, y: int, given: set[int]) -> boo
     return True
 
 
-def separator(edges: list[Edge], p: int, x: int, y: int, most: int = 3) -> tuple[int, ...] | None:
+def separator(edges: list[Edge], p: int, x: int, y: int, most: int = 3, d: np.ndarray | None = None) -> tuple[int, ...] | None:
     """The smallest separating set of ancestors, at most ``most`` nodes; None where there is none."""
-    d = distances(edges, p)
+    d = distances(edges, p) if d is None else d
     pool = [v for v in range(p) if v not in (x, y) and (np.isfinite(d[v, x]) or np.isfinite(d[v, y]))]
-    return next((z for k in range(most + 1) for z in itertools.combinations(pool, k) if separated(edges, p, x, y, set(z))), None)
+    return next((z for k in range(most + 1) for z in itertools.combinations(pool, k) if separated(edges, p, x, y, set(z), d)), None)
 
 
 def adjustment(edges: list[Edge], p: int, x: int, y: int, kind: str) -> list[int]:
@@ -130,26 +130,28 @@ BROWN = [-2.59, -2.382, -2.17, -1.946, -1.709, -1.458, -1.194, -0.916, -0.625, -
 
 
 def combined(p: np.ndarray, sign: np.ndarray, tail: str, r: np.ndarray | None = None) -> float:
-    """One-sided combination of two-sided p-values, for correlated tests where ``r`` is given.
+    """Combination of two-sided p-values, towards one side (tail "positive" or "negative") or as they are ("both").
 
-    Values of 1 and missing ones do not take part. A value that has underflowed to 0 counts as 1e-300, so that the strongest
-    evidence is not lost.
+    The sum of -2 log p of k independent tests is a chi-square with 2k degrees of freedom. For tests with correlations ``r`` a scaled
+    chi-square of the same mean and variance stands in (Brown 1975), the variance from the published table. Required: values
+    of 1 and missing ones do not take part; correlation never counts as more than independence; a result that underflows is
+    the Bonferroni bound of the least value. A value that has underflowed to 0 counts as 1e-300.
     """
-    p, sign = np.maximum(np.asarray(p, float), 1e-300), np.asarray(sign)
-    ok = p < 1
-    if not ok.any():
+    p, towards = np.asarray(p, float), np.asarray(sign) > 0
+    use = np.flatnonzero(p < 1)
+    if not len(use):
         return 1.0
-    one = np.where((sign > 0) == (tail == "positive"), p / 2, 1 - p / 2)[ok]
-    stat, k = float(-2 * np.log(one).sum()), len(one)
-    mean, scale, df = 2.0 * k, 1.0, 2.0 * k
+    p = np.maximum(p[use], 1e-300)
+    if tail != "both":
+        with_tail = towards[use] == (tail == "positive")
+        p = np.where(with_tail, 0.5 * p, 1 - 0.5 * p)
+    k, total, spread = len(use), -2 * float(np.log(p).sum()), 0.0
     if r is not None:
-        pairs = r[np.ix_(ok, ok)][np.tril_indices(k, -1)]
-        variance = 4.0 * k + 2 * float(np.interp(pairs, np.linspace(-1, 1, 21), BROWN).sum())
-        scale, df = variance / (2 * mean), 2 * mean * mean / variance
-        if df > 2 * k:
-            scale, df = 1.0, 2.0 * k
-    found = kernels.chi2_survival(stat / scale, df)
-    return found if found > 0 else max(0.0, min(k * float(one.min()), 1.0))
+        table = np.interp(r[np.ix_(use, use)], np.linspace(-1, 1, len(BROWN)), BROWN)
+        spread = float(table.sum() - np.trace(table)) / (4 * k)  # how much the variance exceeds that of independent tests, relatively
+    inflation = max(1 + spread, 1.0)
+    found = kernels.chi2_survival(total / inflation, 2 * k / inflation)
+    return found or min(1.0, k * float(p.min()))
 
 
 def adjusted(p: list[float], method: str = "BH") -> list[float]:
@@ -238,27 +240,49 @@ def module_weights(s: np.ndarray, kind: str, sources: list[int] | None = None) -
     return w / math.sqrt(max(w @ s @ w, 1e-300))
 
 
-def latent_count(r: np.ndarray, method: str = "knee") -> int:
-    """Number of hidden components by the eigenvalues: the sharpest bend ("knee") or the gaps beyond the bulk ("ed")."""
-    values = np.sort(np.linalg.eigvalsh(r))[::-1]
+def latent_count(r: np.ndarray, method: str = "knee", n: int = 1000, most: int = 10, seed: int = 1) -> int:
+    """Number of hidden components by the singular values of the scaled data, which ``n`` rows and their correlations ``r`` give.
+
+    "knee": the sharpest bend on the first half; "ed": eigenvalue gaps beyond the slope that the values after a candidate show
+    (Onatski 2010); "ic": the least information criterion of 1 to ``most`` components (Bai and Ng 2002); "auto": values above the
+    0.99 quantile of those of unrelated columns, of which 50 are drawn.
+    """
+    p = len(r)
+    values = np.sort(np.maximum(np.linalg.eigvalsh(r), 0))[::-1]
+    singular = np.sqrt(values * (n - 1))
     if method == "knee":
-        half = values[: max(len(values) // 2 + 2, 3)]
+        half = singular[: max(len(singular) // 2, 3)]
         return int(np.abs(np.diff(half, 2)).argmax()) + 1 if len(half) > 2 else 1
-    if method != "ed":
-        raise ValueError(method)
-    most = max(len(values) - 5, 1)
-    start, found = most, 0
-    for _ in range(10):
-        at = min(max(start - 1, 0), max(len(values) - 5, 0))
-        x = np.arange(at, at + len(values[at : at + 5]), dtype=float) ** (2 / 3)
-        slope = np.polyfit(x, values[at : at + 5], 1)[0]
-        gaps = -np.diff(values)[:most]
-        above = np.flatnonzero(gaps >= 2 * abs(slope))
-        new = int(above.max()) + 1 if len(above) else 0
-        if new + 1 == start:
-            return new
-        start, found = new + 1, new
-    return found
+    if method == "ed":
+        limit, last = max(1, round(3 * math.sqrt(min(n, p)))), None
+        limit = min(limit, p - 5)
+        if limit < 1:
+            return 1
+        gaps, candidate = values[:limit] - values[1 : limit + 1], limit
+        for _ in range(10):
+            tail = values[candidate : candidate + 5]
+            x = np.arange(candidate, candidate + len(tail)) ** (2 / 3)
+            threshold = 2 * abs(float(np.cov(x, tail)[0, 1] / np.var(x, ddof=1))) if len(tail) > 1 else 0.0
+            beyond = np.flatnonzero(gaps >= threshold)
+            candidate = int(beyond[-1]) + 1 if len(beyond) else 0
+            if candidate == last:
+                break
+            last = candidate
+        return candidate
+    if method == "ic":
+        total = values.sum()
+        penalty = (n + p) / (n * p) * math.log(n * p / (n + p))
+        scores = [math.log(max(total - values[:k].sum(), 1e-300) / p) + k * penalty for k in range(1, min(most, p - 1) + 1)]
+        return int(np.argmin(scores)) + 1
+    if method == "auto":
+        rng = np.random.default_rng(seed)
+        rows = min(n, 1000)
+        noise = (rng.standard_normal((rows, p)) for _ in range(50))
+        drawn = np.sqrt([np.maximum(np.linalg.eigvalsh(np.corrcoef(x, rowvar=False))[::-1], 0) for x in noise])
+        line = np.quantile(drawn, 0.99, axis=0)
+        above = np.sqrt(values)[: len(line)] > line
+        return int(min(most, above.argmin() if not above.all() else len(above)))
+    raise ValueError(method)
 
 
 # -- ordinal associations, from a table of counts
@@ -290,12 +314,14 @@ def quantile(p: float) -> float:
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 
 
-def bivariate(h: float, k: float, r: float) -> float:
-    """P(X < h, Y < k) of a standard bivariate normal, by integrating the density over the correlation."""
-    base = (1 - kernels.normal_survival(h)) * (1 - kernels.normal_survival(k))
+def bivariate(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
+    """P(X < h, Y < k) of a standard bivariate normal for all pairs of bounds, by integrating the density over the correlation."""
+    h, k = np.asarray(h, float)[:, None], np.asarray(k, float)[None, :]
+    below = np.vectorize(lambda x: 1 - kernels.normal_survival(x))
     a = math.asin(r)
     t = np.sin(a * (1 + _NODES) / 2)
-    return base + float((_WEIGHTS * np.exp(-(h * h - 2 * h * k * t + k * k) / (2 * (1 - t * t)))).sum()) * a / (4 * math.pi)
+    inner = np.exp(-((h * h + k * k)[..., None] - 2 * (h * k)[..., None] * t) / (2 * (1 - t * t)))
+    return below(h) * below(k) + inner @ _WEIGHTS * a / (4 * math.pi)
 
 
 def polychoric(table: np.ndarray) -> float:
@@ -306,8 +332,7 @@ def polychoric(table: np.ndarray) -> float:
     cuts = [[-9.0, *[quantile(c) for c in np.cumsum(m)[:-1] / n], 9.0] for m in (table.sum(1), table.sum(0))]
 
     def loss(r: float) -> float:
-        cdf = np.array([[bivariate(h, k, r) for k in cuts[1]] for h in cuts[0]])
-        cell = np.maximum(np.diff(np.diff(cdf, axis=0), axis=1), 1e-12)
+        cell = np.maximum(np.diff(np.diff(bivariate(*cuts, r), axis=0), axis=1), 1e-12)
         return -float((table * np.log(cell)).sum())
 
     low, high, gold = -0.999, 0.999, (math.sqrt(5) - 1) / 2

@@ -157,10 +157,11 @@ def separation_tests(spark: SparkSession, parts: dict[int, tuple], edges: list[E
 def local_tests(spark: SparkSession, parts: dict[int, tuple], edges: list[Edge], most: int = 3) -> DataFrame:
     """Every missing edge that at most ``most`` nodes separate, given the smallest such set; ``z`` names its nodes."""
     nodes, own = _local(edges)
+    d = learning.distances(own, len(nodes))
     tasks = spark.createDataFrame(learning.missing(own, len(nodes)), "x int, y int")
 
     def work(row, moments) -> list[tuple]:
-        given = learning.separator(own, len(nodes), row.x, row.y, most)
+        given = learning.separator(own, len(nodes), row.x, row.y, most, d)
         if given is None:
             return []
         n, r = correlation(moments)

@@ -14,56 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kernels, learning
-from ..sources.graphs import COLUMNS_DAG
+from ..operators.rows import complete, moments, multiplied, pooled
+from . import catalog
 
-WIDTH = 8
-EDGES = [(int(a[1:]), int(b[1:])) for a, b in COLUMNS_DAG]
+Edge = tuple[int, int]
 
 
-def matrix(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
-    """obs, x (array of doubles) and grp of the embedding table."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("obs"), F.slice("embedding", 1, width).cast("array<double>").alias("x"), (F.col("label") >= 5).cast("int").alias("grp"))
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs, x (array of doubles, whole vectors) and grp of the embedding table."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("obs"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") >= 5).cast("int").alias("grp"))
 
 
-def moments(rows: DataFrame, width: int = WIDTH) -> dict[int, tuple]:
-    """Group to (n, means, covariance) of the columns; what is gathered is width^2 numbers a group."""
-    import numpy as np
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, object] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(0).flatten(), float).reshape(-1, width)
-            x = np.column_stack([np.ones(len(x)), x])
-            grp = np.asarray(batch.column(1).to_pylist())
-            for g in np.unique(grp):
-                part = x[grp == g]
-                sums[int(g)] = sums.get(int(g), 0) + part.T @ part
-        yield pa.RecordBatch.from_pydict({"grp": pa.array([g for g in sums for _ in range((width + 1) ** 2)], pa.int32()), "k": pa.array([k for _ in sums for k in range((width + 1) ** 2)], pa.int32()), "v": pa.array([float(v) for s in sums.values() for v in s.ravel()], pa.float64())})
-
-    whole = rows.where(F.size("x") == width).select("x", "grp")
-    out: dict[int, tuple] = {}
-    table: dict[int, object] = {}
-    for r in whole.mapInArrow(run, "grp int, k int, v double").groupBy("grp", "k").agg(F.sum("v").alias("v")).collect():
-        table.setdefault(r["grp"], np.zeros((width + 1) ** 2))[r["k"]] = r["v"]
-    for g, flat in table.items():
-        s = flat.reshape(width + 1, width + 1)
-        n = s[0, 0]
-        mean = s[0, 1:] / n
-        out[g] = (int(n), mean, (s[1:, 1:] - n * np.outer(mean, mean)) / (n - 1))
-    return out
-
-
-def pooled(parts: dict[int, tuple]) -> tuple:
-    """(n, correlation) of all groups together."""
-    import numpy as np
-
-    n = sum(k for k, *_ in parts.values())
-    mean = sum(k * m for k, m, _ in parts.values()) / n
-    s = sum((k - 1) * c + k * np.outer(m - mean, m - mean) for k, m, c in parts.values()) / (n - 1)
-    d = np.sqrt(np.diag(s))
-    return n, s / np.outer(d, d)
+def edges_of(spark: SparkSession, sf_dir: str) -> list[Edge]:
+    """The graph of the columns, as places: a model graph, so it is small."""
+    return [(r["a"], r["b"]) for r in catalog.frame("SELECT DISTINCT src - 1 AS a, dst - 1 AS b FROM (@places) e ORDER BY a, b", spark, sf_dir).collect()]
 
 
 def _estimates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -71,95 +35,96 @@ def _estimates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(out, "lhs string, op string, rhs string, est double, se double, z double, pvalue double")
 
 
-def _parents(edges=EDGES) -> dict[int, list[int]]:
-    return {j: [a for a, b in edges if b == j] for j in range(WIDTH)}
+def study(spark: SparkSession, sf_dir: str) -> tuple[list[Edge], dict[int, tuple], int, object]:
+    """(edges, moments, rows, pooled correlation) of the stored matrix and the graph of its columns."""
+    parts = moments(matrix(spark, sf_dir))
+    return edges_of(spark, sf_dir), parts, *pooled(parts)
+
+
+def _parents(edges: list[Edge], width: int) -> dict[int, list[int]]:
+    return dict(enumerate(learning.parents(edges, width)))
 
 
 def fit_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum-likelihood paths of the recursive model on correlations."""
-    n, r = pooled(moments(matrix(spark, sf_dir)))
-    return _estimates(spark, kernels.dag_ols(r, _parents(), n))
+    edges, _, n, r = study(spark, sf_dir)
+    return _estimates(spark, kernels.dag_ols(r, _parents(edges, len(r)), n))
 
 
 def fit_two_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of the paths between the groups."""
     import numpy as np
 
+    edges, parts, *_ = study(spark, sf_dir)
     fits = {}
-    for g, (n, _, c) in moments(matrix(spark, sf_dir)).items():
+    for g, (n, _, c) in parts.items():
         d = np.sqrt(np.diag(c))
-        fits[g] = kernels.dag_ols(c / np.outer(d, d), _parents(), n)
+        fits[g] = kernels.dag_ols(c / np.outer(d, d), _parents(edges, len(c)), n)
     if len(fits) < 2:
         return _estimates(spark, [])
     return _estimates(spark, [(j, k, b1 - b0, math.hypot(s0, s1)) for (j, k, b0, s0), (*_, b1, s1) in zip(fits[0], fits[1], strict=True)])
 
 
+#: Bidirected edges of the mixed model: neighbouring regions.
+BIDIRECTED = [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
 def fit_ricf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit indices of the mixed graph with one bidirected edge."""
-    n, r = pooled(moments(matrix(spark, sf_dir)))
-    bidirected = [(0, 4)]
-    _, _, sigma, steps = kernels.ricf(r, EDGES, bidirected)
-    found = kernels.fit_indices(r, sigma, n, len(EDGES) + len(bidirected) + WIDTH)
+    """Fit indices of the mixed graph with bidirected edges between the regions."""
+    edges, _, n, r = study(spark, sf_dir)
+    _, _, sigma, steps = kernels.ricf(r, edges, BIDIRECTED)
+    found = kernels.fit_indices(r, sigma, n, len(edges) + len(BIDIRECTED) + len(r))
     return spark.createDataFrame([(round(found["dev"], 4), found["df"], round(found["srmr"], 6), round(found["rmsea"], 6), n, found["npar"], steps)], "dev double, df int, srmr double, rmsea double, n long, npar int, steps int")
 
 
 def fit_ggm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-biased node-wise regressions: a lasso step corrected by the inverse of the parents' covariance."""
-    import numpy as np
+    edges, _, n, r = study(spark, sf_dir)
+    return _estimates(spark, kernels.node_wise(r, _parents(edges, len(r)), n))
 
-    n, r = pooled(moments(matrix(spark, sf_dir)))
-    rows = []
-    for j, pa_ in _parents().items():
-        if not pa_:
-            continue
-        x, xy = r[np.ix_(pa_, pa_)], r[pa_, j]
-        lam = math.sqrt(math.log(len(pa_) + 1) / n) if len(pa_) + 1 > n else 1e-3
-        b = kernels.lasso(x, xy, lam) if len(pa_) > 1 else xy / np.diag(x)
-        wi = kernels.glasso(x, lam)[1] / n if len(pa_) > 1 else np.array([[1 / (n * x[0, 0])]])
-        if len(pa_) > 1:
-            b = b + wi @ (xy - x @ b)
-        rest = math.sqrt(max(1 - 2 * b @ xy + b @ x @ b, 0))
-        rows += [(j, k, float(v), rest * math.sqrt(wi[i, i])) for i, (k, v) in enumerate(zip(pa_, b, strict=True))]
-    return _estimates(spark, rows)
-
-
-def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 200) -> DataFrame:
+
+def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFrame:
     """Poisson bootstrap of the paths: every row draws its weight in each replicate from a hash of its id, so one pass over
-    the rows adds up all replicates, whatever the partitions."""
+    the rows adds up all replicates, whatever the partitions.
+
+    A child needs the cross products of itself and its parents only, and a replicate is fitted where these meet.
+    """
     import numpy as np
 
-    rows = matrix(spark, sf_dir)
-    size = (WIDTH + 1) ** 2
+    edges, rows = edges_of(spark, sf_dir), complete(matrix(spark, sf_dir))
+    families = [(j, [j, *pa_]) for j, pa_ in enumerate(learning.parents(edges, 1 + max(v for e in edges for v in e))) if pa_]
+    cells = [(a, b) for j, own in families for i, a in enumerate(own) for b in own[i:]]
+    cells = sorted({(min(c), max(c)) for c in cells})
+    nodes = sorted({v for c in cells for v in c})
+    place = {c: 1 + len(nodes) + k for k, c in enumerate(cells)}
+    size = 1 + len(nodes) + len(cells)
+    left, right = [a for a, _ in cells], [b for _, b in cells]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((reps, size))
-        for batch in batches:
-            obs = np.asarray(batch.column(0).to_pylist(), np.uint64)
-            x = np.asarray(batch.column(1).flatten(), float).reshape(-1, WIDTH)
-            x = np.column_stack([np.ones(len(x)), x])
-            outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-            key = obs[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(reps, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
-            key = (key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-            u = ((key ^ (key >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-            steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
-            sums += np.searchsorted(steps, u).T.astype(float) @ outer
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(range(reps), pa.int32()), "v": pa.array(sums.tolist(), pa.list_(pa.float64()))})
-
-    added = rows.where(F.size("x") == WIDTH).select("obs", "x").mapInArrow(run, "rep int, v array<double>").groupBy("rep").agg(*[F.sum(F.col("v")[k]).alias(f"m{k}") for k in range(size)])
-
-    def fit(pdf):
-        import pandas as pd
-
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                obs = np.asarray(batch.column(0).to_pylist(), np.uint64)
+                x = np.asarray(batch.column(1).flatten(), float).reshape(len(obs), -1)
+                key = obs[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(reps, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+                key = (key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+                u = ((key ^ (key >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+                sums += np.searchsorted(steps, u).T.astype(float) @ np.column_stack([np.ones(len(x)), x[:, nodes], x[:, left] * x[:, right]])
+        yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array([row.tobytes() for row in sums], pa.binary())], names=["rep", "sums"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        s = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+        mean = dict(zip(nodes, s[1 : 1 + len(nodes)] / s[0], strict=True))
         out = []
-        for row in pdf.itertuples(index=False):
-            s = np.array(row[1:]).reshape(WIDTH + 1, WIDTH + 1)
-            mean = s[0, 1:] / s[0, 0]
-            c = s[1:, 1:] / s[0, 0] - np.outer(mean, mean)
+        for j, own in families:
+            c = np.array([[s[place[min(a, b), max(a, b)]] / s[0] - mean[a] * mean[b] for b in own] for a in own])
             d = np.sqrt(np.diag(c))
-            out += [(f"v{j}", f"v{k}", b) for j, k, b, _ in kernels.dag_ols(c / np.outer(d, d), _parents(), int(s[0, 0]))]
-        return pd.DataFrame(out, columns=["lhs", "rhs", "b"])
+            out += [(f"v{j}", f"v{own[k]}", b) for _, k, b, _ in kernels.dag_ols(c / np.outer(d, d), {0: list(range(1, len(own)))}, int(s[0]))]
+        return pa.table({"lhs": [x[0] for x in out], "rhs": [x[1] for x in out], "b": [float(x[2]) for x in out]})
 
-    fitted = added.mapInPandas(lambda it: map(fit, it), "lhs string, rhs string, b double")
+    fitted = rows.select("obs", "x").mapInArrow(run, "rep int, sums binary").groupBy("rep").applyInArrow(fit, "lhs string, rhs string, b double")
     return fitted.groupBy("lhs", "rhs").agg(F.round(F.stddev_samp("b"), 6).alias("se"), F.count(F.lit(1)).alias("reps"))
 
 
@@ -167,7 +132,7 @@ def learn_dag(spark: SparkSession, sf_dir: str, beta: float = 0.0) -> DataFrame:
     """Lasso parents along the bottom-up layers of the precision matrix."""
     import numpy as np
 
-    n, r = pooled(moments(matrix(spark, sf_dir)))
+    _, _, n, r = study(spark, sf_dir)
     found = kernels.layers(r, 0.005)
     lam = math.sqrt(math.log(max(len(found), 2)) / n)
     rows = []
@@ -184,75 +149,99 @@ def _square(spark: SparkSession, m) -> DataFrame:
 
 
 def glasso_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = pooled(moments(matrix(spark, sf_dir)))
-    return _square(spark, kernels.glasso(r, math.sqrt(math.log(WIDTH) / n))[1])
+    """Sparse precision matrix in which the edges of the graph are zero, as they are no confounding."""
+    edges, _, n, r = study(spark, sf_dir)
+    return _square(spark, kernels.glasso(r, math.sqrt(math.log(len(r)) / n), set(edges))[1])
 
 
-def confounded(r, n: int, alpha: float = 0.05) -> list[tuple[int, int]]:
+def confounded(r, n: int, edges: list[Edge], alpha: float = 0.05) -> list[Edge]:
     """Missing edges that stay dependent given the parents of both ends, at adjusted p-values."""
-    gaps = learning.missing(EDGES, WIDTH)
-    padj = learning.adjusted([learning.basis_test(r, n, EDGES, e)[2] for e in gaps])
+    gaps = learning.missing(edges, len(r))
+    padj = learning.adjusted([learning.basis_test(r, n, edges, e)[2] for e in gaps])
     return [e for e, q in zip(gaps, padj, strict=True) if q < alpha]
 
 
-def bap_decorrelate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows multiplied by the inverse root of the covariance graph of the confounded missing edges."""
+def deconfounding(method: str, r, n: int, edges: list[Edge], q: int | None = None):
+    """The matrix that rows are multiplied by: "cggm" (tested covariances), "glasso", "glpc", or a spectral method
+    (trim, lava, rsvp, pcss, pc). ``q`` is the number of hidden components, from the eigenvalues where it isn't given.
+    """
     import numpy as np
 
-    n, r = pooled(moments(matrix(spark, sf_dir)))
-    strong = confounded(r, n)
-    root = kernels.power(kernels.covariance_graph(r, strong), -0.5) if strong else np.eye(WIDTH)
-    return _multiplied(spark, sf_dir, root)
+    if method == "cggm":
+        strong = confounded(r, n, edges)
+        return kernels.power(kernels.covariance_graph(r, strong), -0.5) if strong else np.eye(len(r))
+    if method == "glasso":
+        return kernels.power(kernels.glasso(r, math.sqrt(math.log(len(r)) / n), set(edges))[1], 0.5)
+    q = max(1, learning.latent_count(r, "knee")) if q is None else q
+    if method == "glpc":
+        w = kernels.laplacian_components(r, edges, q)
+        return np.eye(len(r)) - w @ np.linalg.pinv(w.T @ r @ w) @ w.T @ r
+    return kernels.spectral(r * (n - 1), method, q)
 
 
-def _multiplied(spark: SparkSession, sf_dir: str, root) -> DataFrame:
-    import numpy as np
+def bap_decorrelate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows multiplied by the inverse root of the covariance graph of the confounded missing edges."""
+    edges, _, n, r = study(spark, sf_dir)
+    return multiplied(matrix(spark, sf_dir), deconfounding("cggm", r, n, edges))
 
-    shared = spark.sparkContext.broadcast(root)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), float).reshape(-1, WIDTH) @ shared.value
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(x, 6).tolist(), pa.list_(pa.float64()))], names=["obs", "x"])
+def _spectral(method: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, _, n, r = study(spark, sf_dir)
+        return _square(spark, kernels.spectral(r * (n - 1), method, 2))
 
-    return matrix(spark, sf_dir).where(F.size("x") == WIDTH).select("obs", "x").mapInArrow(run, "obs long, x array<double>")
+    return query
 
 
-def _spectral(method: str):
+def _deconfounded(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n, r = pooled(moments(matrix(spark, sf_dir)))
-        return _square(spark, kernels.spectral(r * (n - 1), method, 2))
+        edges, _, n, r = study(spark, sf_dir)
+        return multiplied(matrix(spark, sf_dir), deconfounding(method, r, n, edges))
 
     return query
 
 
 def factor_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, r = pooled(moments(matrix(spark, sf_dir)))
+    _, _, _, r = study(spark, sf_dir)
     load, psi = kernels.factors(r, 1)
-    return spark.createDataFrame([(f"v{k}", round(abs(float(load[k, 0])), 4), round(float(psi[k]), 4)) for k in range(WIDTH)], "var string, loading double, uniqueness double")
+    return spark.createDataFrame([(f"v{k}", round(abs(float(load[k, 0])), 4), round(float(psi[k]), 4)) for k in range(len(r))], "var string, loading double, uniqueness double")
 
 
 def steiner_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, r = pooled(moments(matrix(spark, sf_dir)))
-    weights = {tuple(sorted(e)): 1 - abs(float(r[e])) for e in EDGES}
-    return spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in kernels.steiner(weights, [1, 4, 6])], "src string, dst string")
+    """The tree that joins all regions' columns over the graph."""
+    edges, _, _, r = study(spark, sf_dir)
+    weights = {tuple(sorted(e)): 1 - abs(float(r[e])) for e in edges}
+    return spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in kernels.steiner(weights, sorted({a for a, _ in edges} - {b for _, b in edges}))], "src string, dst string")
 
 
 def arborescence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, r = pooled(moments(matrix(spark, sf_dir)))
+    _, _, _, r = study(spark, sf_dir)
     return spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in kernels.arborescence(abs(r))], "src string, dst string")
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = kernels.greedy_modularity(EDGES, WIDTH)
+    edges = edges_of(spark, sf_dir)
+    label = kernels.greedy_modularity(edges, 1 + max(v for e in edges for v in e))
     return spark.createDataFrame([(f"v{k}", c) for k, c in enumerate(label)], "name string, cluster int")
 
 
 def minimax_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, r = pooled(moments(matrix(spark, sf_dir)))
+    _, _, _, r = study(spark, sf_dir)
     return spark.createDataFrame([(f"v{k}", f"p{proto}") for members, proto in kernels.minimax(1 - abs(r), 0.97) for k in members], "name string, prototype string")
 
 
+def eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues of the correlations in falling order, with their first and second differences and cumulated share."""
+    import numpy as np
+
+    _, _, _, r = study(spark, sf_dir)
+    v = np.sort(np.linalg.eigvalsh(r))[::-1]
+    d1, d2 = [None, *np.diff(v)], [None, None, *np.diff(v, 2)]
+    part = np.cumsum(v) / v.sum()
+    f = lambda x: None if x is None else round(float(x), 8)
+    return spark.createDataFrame([(k + 1, f(v[k]), f(d1[k]), f(d2[k]), f(part[k])) for k in range(len(v))], "k int, value double, d1 double, d2 double, pve double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (fit_ml, fit_two_group, fit_ricf, fit_ggm, bootstrap_se, learn_dag, glasso_precision, bap_decorrelate, factor_loadings, steiner_tree, arborescence, communities, minimax_clusters)
-    return {f.__name__: f for f in plain} | {f"svd_{m}": _spectral(m) for m in ("trim", "lava", "rsvp", "pcss", "pc")}
+    plain = (fit_ml, fit_two_group, fit_ricf, fit_ggm, bootstrap_se, learn_dag, glasso_precision, bap_decorrelate, factor_loadings, steiner_tree, arborescence, communities, minimax_clusters, eigenvalues)
+    return {f.__name__: f for f in plain} | {f"svd_{m}": _spectral(m) for m in ("trim", "lava", "rsvp", "pcss", "pc")} | {f"deconfounded_{m}": _deconfounded(m) for m in ("glasso", "glpc", "trim", "pcss")}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from pathloom.operators import learning, models
+from pathloom.operators.rows import moments
 from pathloom.plans import analyses, fits
 
 SF = "/root/testdata/sf0.001"
@@ -31,13 +32,13 @@ def test_simulated_rows_do_not_depend_on_partitions(spark):
 
 def test_moments_equal_numpy(sample):
     rows = sample.collect()
-    for g, (n, mean, cov) in fits.moments(sample, 3).items():
+    for g, (n, mean, cov) in moments(sample).items():
         x = np.array([r["x"] for r in rows if r["grp"] == g])
         assert n == len(x) and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
 
 
 def test_effects_multiply_along_the_chain(spark, sample):
-    parts = fits.moments(sample, 3)
+    parts = moments(sample)
     found = {(r["source"], r["sink"]): r for r in models.effects(spark, {0: parts[0]}, CHAIN).collect()}
     x = np.array([r["x"] for r in sample.where("grp = 0").collect()])
     sd = x.std(0, ddof=1)
@@ -47,7 +48,7 @@ def test_effects_multiply_along_the_chain(spark, sample):
 
 
 def test_the_shifted_node_is_found(spark, sample):
-    parts = fits.moments(sample, 3)
+    parts = moments(sample)
     tests, fit, act, inh = models.node_tests(parts, CHAIN)
     assert tests[2][2] < 1e-10 < 0.001 < tests[0][2] and act < 0.001 < inh
     tasks = spark.createDataFrame([("a", [(0, 1, 1.0), (1, 2, 1.0)]), ("b", [(0, 1, -1.0)])], "pathway string, edges array<struct<src: int, dst: int, weight: double>>")
@@ -56,7 +57,7 @@ def test_the_shifted_node_is_found(spark, sample):
 
 
 def test_missing_edge_is_separated(spark, sample):
-    parts = {0: fits.moments(sample, 3)[0]}
+    parts = {0: moments(sample)[0]}
     (one,) = models.local_tests(spark, parts, CHAIN).collect()
     assert (one["x"], one["y"], one["z"]) == ("v0", "v2", "v1") and abs(one["estimate"]) < 0.05 and one["pvalue"] > 0.3
 
@@ -83,12 +84,11 @@ def test_causal_order_of_skewed_noise(spark, tmp_path):
     assert [r["var"] for r in sorted(analyses.causal_order(spark, str(tmp_path)).collect())] == [f"v{v}" for v in place]
 
 
-def test_permutation_agrees_with_the_two_sample_test(spark):
-    parts = fits.moments(fits.matrix(spark, SF))
-    n, r = learning.with_group(parts)
-    z = r[0, 1:] * np.sqrt((n - 2) / (1 - r[0, 1:] ** 2))
-    got = [row["stat"] for row in sorted(analyses.node_permutation(spark, SF).collect())]
-    assert np.abs(np.array(got) - z).max() < 0.6
+def test_permutation_agrees_with_the_closed_form(spark):
+    edges, parts, *_ = fits.study(spark, SF)
+    t = {k: x for k, x, _ in models.node_tests(parts, edges)[0]}
+    got = {row["node"]: row["stat"] for row in analyses.node_permutation(spark, SF, 300).collect()}
+    assert np.corrcoef([got[f"v{k}"] for k in t], list(t.values()))[0, 1] > 0.98
 
 
 def test_stream_equals_the_whole_table(spark):

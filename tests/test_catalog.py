@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pathloom.plans import catalog
+from pathloom.plans import catalog, studies, walks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,15 +20,29 @@ def rows(df):
     return sorted(tuple("" if x is None or x != x else f"{x + 0.0:.5g}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(catalog.PLANS))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_plan(spark, duck, name):
-    ours, theirs = catalog.frame(name, spark, DATA).toPandas(), duck.execute(catalog.text(name, True)).df()
+    ours, theirs = catalog.queries()[name](spark, DATA).toPandas(), duck.execute(catalog.text(name, True)).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
 
 def got(spark, name):
-    return catalog.frame(name, spark, DATA).toPandas()
+    """A query over the published example graph."""
+    whole = getattr(walks, name, None)
+    return (whole(spark, DATA, True) if whole else catalog.frame(name, spark, DATA, True)).toPandas()
+
+
+@pytest.mark.parametrize("name", list(walks.SQL))
+def test_walks(spark, duck, name):
+    ours, theirs = walks.queries()[name](spark, DATA).toPandas(), duck.execute(walks.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert rows(ours) == rows(theirs)
+
+
+@pytest.mark.parametrize("name", list(studies.SQL))
+def test_studies(spark, duck, name):
+    assert rows(studies.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(studies.oracle_sql()[name]).df())
 
 
 def test_published_graph_figures(spark):
@@ -38,4 +52,6 @@ def test_published_graph_figures(spark):
     freq = got(spark, "all_pairs_reachable_len_freq").set_index("d")["n"].to_dict()
     assert freq == {1: 18, 2: 11, 3: 6, 4: 1}
     assert len(got(spark, "missing_edges_basis_set")) == 37
-    assert len(got(spark, "model_text")) == 19 and got(spark, "acyclic_check")["n_cycles"][0] == 0
+    assert len(got(spark, "model_text")) == 19 and got(spark, "acyclic_check").set_index("graph")["n_cyclic"]["signal"] == 0
+    levels = got(spark, "merged_levels").set_index("name")["level"].to_dict()
+    assert {v for v, k in levels.items() if k == 0} == {"Jnk", "P38", "Akt", "Erk"} and levels["Mek"] == 1 and levels["PKA"] == levels["PIP3"] == 6

@@ -76,7 +76,7 @@ def test_kendall_and_polychoric():
     assert learning.kendall(np.array([[5.0, 0], [0, 0]])) == 0
     for h, k, r in ((0.3, -0.5, 0.7), (1.0, 1.0, -0.4)):
         draw = rng.multivariate_normal([0, 0], [[1, r], [r, 1]], 200_000)
-        assert abs(learning.bivariate(h, k, r) - ((draw[:, 0] < h) & (draw[:, 1] < k)).mean()) < 0.005
+        assert abs(learning.bivariate([h], [k], r)[0, 0] - ((draw[:, 0] < h) & (draw[:, 1] < k)).mean()) < 0.005
 
 
 def test_adjusted_and_combined():
