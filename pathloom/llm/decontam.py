@@ -4,8 +4,8 @@ Texts are folded to words (``A-Z`` lower-cased; every other ASCII character that
 A window is ``window`` consecutive words of an item, or the whole of a shorter item. A document is scanned once; a word
 inside any occurrence of any window is hit, and hit runs are given as code-point offsets of the original text.
 
-The automaton runs over words, not characters: every word of the items is one code point, any other word another one, so
-a state is a word of a window. It goes to every worker, so its size is checked: items beyond ``automaton_bytes`` of text
+The automaton runs over numbers of words, not their characters: every word of the items is a number of a few digits (in base
+``BASE``, as a state's branches are searched one after another), any other word a mark that no window has. It goes to every worker, so its size is checked: items beyond ``automaton_bytes`` of text
 are split by a hash of their text into several automata, through which every row passes with the hits so far. A row's answer
 depends on that row and the items only, whatever the limit.
 
@@ -34,8 +34,9 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 STATE = "runs array<struct<first:int,last:int>>, items array<long>"
 SCAN = "doc_id long, n_words long, n_hit long, runs array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>, items array<long>"
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-#: Code points that stand for words: one for every word that no item has, surrogates left out.
-_OTHER, _FIRST, _LAST = 0x10FFFF, 1, 0x10FFFE
+#: Branches of a state. First digits of a number are other characters than the rest, so that windows are found at words only.
+BASE = 64
+_FIRST, _REST, _OTHER = 1, 1 + BASE, chr(1 + 2 * BASE)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -48,40 +49,48 @@ class Automaton:
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         import ahocorasick
 
-        self.codes: dict[bytes, str] = {}
-        owners: dict[str, set[int]] = {}
-        for item, text in items:
-            line = "".join(map(self.code, words_of(text)))
+        texts = [(item, words_of(text)) for item, text in items]
+        known = dict.fromkeys(w for _, words in texts for w in words)
+        self.digits = 1
+        while BASE**self.digits < len(known):
+            self.digits += 1
+        self.codes = {w: self.number(k) for k, w in enumerate(known)}
+        owners: dict[str, tuple[int, set[int]]] = {}
+        for item, words in texts:
+            line = [self.codes[w] for w in words]
             n = min(window, len(line))
             for i in range(len(line) - n + 1) if n else ():
-                ids = owners.setdefault(line[i : i + n], set())
+                _, ids = owners.setdefault("".join(line[i : i + n]), (n, set()))
                 if item is not None:
                     ids.add(item)
         self.found = ahocorasick.Automaton()
-        for key, ids in owners.items():
-            self.found.add_word(key, (len(key), tuple(ids)))
+        for key, (n, ids) in owners.items():
+            self.found.add_word(key, (n, tuple(ids)))
         self.empty = not owners
         if owners:
             self.found.make_automaton()
 
-    def code(self, word: bytes) -> str:
-        if word not in self.codes:
-            at = _FIRST + len(self.codes)
-            at += 0x800 if at >= 0xD800 else 0
-            if at > _LAST:
-                raise ValueError("the items of one automaton have more words than there are code points; lower automaton_bytes")
-            self.codes[word] = chr(at)
-        return self.codes[word]
+    def number(self, k: int) -> str:
+        out = []
+        for _ in range(self.digits - 1):
+            k, digit = divmod(k, BASE)
+            out.append(chr(_REST + digit))
+        return chr(_FIRST + k) + "".join(out)
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[int]]:
         """Number of words, hit runs as (first, last) word, sorted ids of the items that occur."""
+        import numpy as np
+
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], []
-        hits = list(self.found.iter("".join(map(self.codes.get, words, repeat(chr(_OTHER))))))
+        hits = list(self.found.iter("".join(map(self.codes.get, words, repeat(_OTHER)))))
         if not hits:
             return len(words), [], []
-        return len(words), merged(sorted((last - n + 1, last) for last, (n, _) in hits)), sorted({i for _, (_, ids) in hits for i in ids})
+        ends = np.cumsum([self.digits if w in self.codes else 1 for w in words])
+        lasts = np.searchsorted(ends, [end for end, _ in hits], "right").tolist()
+        pairs = sorted((last - n + 1, last) for last, (_, (n, _)) in zip(lasts, hits, strict=True))
+        return len(words), merged(pairs), sorted({i for _, (_, ids) in hits for i in ids})
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
