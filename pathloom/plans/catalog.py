@@ -56,9 +56,9 @@ def _plans() -> dict[str, str]:
     p["edge_r2z"] = f"WITH d AS ({EDGE_DATA}), z AS ({Z_ALL}) SELECT src, dst, round(atanh(r) * sqrt(n - 3.0), 6) AS u, CASE WHEN abs(atanh(r) * sqrt(n - 3.0)) < 1.96 THEN 0 WHEN r > 0 THEN 1 ELSE -1 END AS zsign, round({two_sided('atanh(r) * sqrt(n - 3.0)')}, 6) AS pv FROM z"
     group_z = "g AS (SELECT src, dst, (atanh(max(CASE WHEN grp = 1 THEN r END)) - atanh(max(CASE WHEN grp = 0 THEN r END))) / sqrt(1.0 / (max(CASE WHEN grp = 1 THEN n END) - 3) + 1.0 / (max(CASE WHEN grp = 0 THEN n END) - 3)) AS u FROM (SELECT src, dst, grp, corr(xv, yv) AS r, count(*) AS n FROM d GROUP BY src, dst, grp) s GROUP BY src, dst)"
     p["edge_r2z_group"] = f"WITH d AS ({EDGE_DATA}), {group_z} SELECT src, dst, round(u, 6) AS u, CASE WHEN abs(u) < 1.96 THEN 0 WHEN u > 0 THEN 1 ELSE -1 END AS zsign, round({two_sided('u')}, 6) AS pv FROM g"
-    tests = f"WITH d AS (SELECT i AS src"
+    tests = f"WITH d AS (SELECT i AS src, j AS dst, grp, xv, yv FROM (@both) b), {group_z}, t AS (SELECT least(concat('v', src), concat('v', dst)) AS src, greatest(concat('v', src), concat('v', dst)) AS dst, u, {two_sided('u')} AS pv FROM g)"
     p["pairs_r2z_group_tests"] = f"{tests} SELECT src, dst, u, pv FROM t"
-    p["pairs_r2z_group_bh"] = f"{tests}, j AS dst, grp, xv, yv FROM (@both) b), {group_z}, t AS (SELECT least(concat('v', src), concat('v', dst)) AS src, greatest(concat('v', src), concat('v', dst)) AS dst, u, {two_sided('u')} AS pv FROM g), j AS ({adjust('pv', 't', 'BH', 'src, dst, u')}) SELECT src, dst, round(u, 6) AS u, round(pv, 6) AS pv, round(padj, 6) AS padj FROM j"
+    p["pairs_r2z_group_bh"] = f"{tests}, j AS ({adjust('pv', 't', 'BH', 'src, dst, u')}) SELECT src, dst, round(u, 6) AS u, round(pv, 6) AS pv, round(padj, 6) AS padj FROM j"
     slopes = "s AS (SELECT src, dst, grp, covar_samp(xv, yv) / var_samp(xv) AS b, count(*) AS n, (count(*) - 1) * (var_samp(yv) - covar_samp(xv, yv) * covar_samp(xv, yv) / var_samp(xv)) AS rss, (count(*) - 1) * var_samp(xv) AS sxx FROM d GROUP BY src, dst, grp)"
     p["edge_lmi_interaction"] = f"WITH d AS ({EDGE_DATA}), {slopes} SELECT src, dst, round((max(CASE WHEN grp = 1 THEN b END) - max(CASE WHEN grp = 0 THEN b END)) / sqrt(sum(rss) / (sum(n) - 4) * sum(1.0 / sxx)), 6) AS t FROM s GROUP BY src, dst"
     p["edge_group_slopes"] = f"WITH d AS ({EDGE_DATA}), {slopes} SELECT src, dst, round(max(CASE WHEN grp = 1 THEN b END) - max(CASE WHEN grp = 0 THEN b END), 8) AS d_est, round(sqrt(sum(rss / (n - 2) / sxx)), 8) AS d_se, round((max(CASE WHEN grp = 1 THEN b END) - max(CASE WHEN grp = 0 THEN b END)) / sqrt(sum(rss / (n - 2) / sxx)), 6) AS d_z FROM s GROUP BY src, dst"
