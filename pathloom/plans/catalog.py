@@ -134,11 +134,27 @@ def _plans() -> dict[str, str]:
     p["lingam_entropy_terms"] = "SELECT var, round(avg(ln((exp(z) + exp(-z)) / 2.0)), 8) AS log_cosh, round(avg(z * exp(-z * z / 2.0)), 8) AS gauss FROM (SELECT var, (value - avg(value) OVER (PARTITION BY var)) / stddev_samp(value) OVER (PARTITION BY var) AS z FROM (@long) l) s GROUP BY var"
     p["ols_nodewise_1parent"] = f"WITH d AS ({EDGE_DATA}) SELECT dst AS lhs, src AS rhs, round(corr(xv, yv), 8) AS est, round(sqrt((1 - power(corr(xv, yv), 2)) / count(*)), 8) AS se FROM d GROUP BY src, dst"
     p["srmr_from_cov"] = f"SELECT round(sqrt(avg(power(res, 2))), 8) AS srmr FROM (SELECT CASE WHEN e.src IS NULL THEN r ELSE 0.0 END AS res FROM ({PAIR}) p LEFT JOIN (@dag) e ON least(e.src, e.dst) = p.x AND greatest(e.src, e.dst) = p.y UNION ALL SELECT 0.0 AS res FROM (SELECT DISTINCT var FROM (@long) l) v) s"
+    # orders, samples and set measures
+    p["order_by_p"] = f"WITH {pvals} SELECT cast(row_number() OVER (ORDER BY pv, var) AS bigint) AS place, var, round(pv, 6) AS pv FROM t"
+    p["modules_by_shift"] = f"WITH {pvals}, c AS (SELECT src AS module, dst AS var FROM (@dag) e), m AS (SELECT module, count(*) AS n, sum(-2.0 * ln(pv + 1e-16)) AS score FROM c JOIN t ON t.var = c.var GROUP BY module) SELECT cast(row_number() OVER (ORDER BY score DESC, module) AS bigint) AS place, module, n, round(score, 6) AS score FROM m"
+    p["sampled_rows"] = "SELECT obs, grp FROM (SELECT DISTINCT obs, grp FROM (@long) l) o ORDER BY md5(concat('17:', cast(obs AS STRING))), obs LIMIT 20"
+    p["node_set_metrics"] = f"WITH {pvals}, seed AS (SELECT DISTINCT src AS var FROM (@dag) e), gold AS (SELECT var FROM t WHERE pv < 0.05), c AS (SELECT (SELECT count(*) FROM seed) AS size, (SELECT count(*) FROM gold) AS n_gold, (SELECT count(*) FROM seed JOIN gold ON gold.var = seed.var) AS hits) SELECT size, n_gold, hits, round(hits / cast(size AS double), 8) AS prec, round(hits / cast(n_gold AS double), 8) AS recall, round(2.0 * hits / (size + n_gold), 8) AS f1 FROM c"
+    p["classification_metrics"] = "WITH s AS (SELECT var, avg(CASE WHEN grp = 1 THEN value END) AS m1, avg(CASE WHEN grp = 0 THEN value END) AS m0, var_samp(value) AS v FROM (@long) l GROUP BY var), d AS (SELECT l.obs, max(l.grp) AS gold, sum((l.value - (m1 + m0) / 2) * (m1 - m0) / v) AS score FROM (@long) l JOIN s ON s.var = l.var GROUP BY l.obs), c AS (SELECT count(CASE WHEN score > 0 AND gold = 1 THEN 1 END) AS tp, count(CASE WHEN score > 0 AND gold = 0 THEN 1 END) AS fp, count(CASE WHEN score <= 0 AND gold = 1 THEN 1 END) AS fn, count(CASE WHEN score <= 0 AND gold = 0 THEN 1 END) AS tn FROM d) SELECT tp, fp, fn, tn, round(tp / cast(tp + fn AS double), 8) AS sensitivity, round(tn / cast(tn + fp AS double), 8) AS specificity, round((tp + tn) / cast(tp + tn + fp + fn AS double), 8) AS accuracy FROM c"
+    p["extracted_tree"] = f"WITH {pvals}, seed AS (SELECT var FROM t WHERE pv < 0.05), e AS (SELECT DISTINCT src, dst FROM (@dag) g), near AS (SELECT src, dst FROM e WHERE src IN (SELECT var FROM seed) OR dst IN (SELECT var FROM seed)) SELECT src, dst, CASE WHEN src IN (SELECT var FROM seed) AND dst IN (SELECT var FROM seed) THEN 'seeds' ELSE 'link' END AS kind FROM near"
     p["full_graph"] = f"SELECT a.name AS src, b.name AS dst FROM ({VERTS}) a JOIN ({VERTS}) b ON a.name <> b.name"
     p["conversation_chain"] = "SELECT role AS src, nxt AS dst, count(*) AS n FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (@turns) t) s WHERE nxt IS NOT NULL GROUP BY role, nxt"
     return p
 
 
+def swept_regressions(pairs: str, most: int = 3) -> str:
+    """CTEs that end in ``reg`` (j, k, b, v, n): the regression of each node on its parents, at most ``most`` of them, from correlations
+    ``pairs`` (x, y, r, n): slope, its variance but for the rows' number, and that number. Parents are swept one by one."""
+    out = f"c AS ({pairs}), f AS (SELECT dst AS j, src AS k, row_number() OVER (PARTITION BY dst ORDER BY src) AS s FROM (SELECT DISTINCT src, dst FROM (@dag) g) e), nd AS (SELECT j, k AS node FROM f UNION SELECT j, j AS node FROM f), m0 AS (SELECT a.j, a.node AS i, b.node AS l, CASE WHEN a.node = b.node THEN 1.0 ELSE c.r END AS v FROM nd a JOIN nd b ON b.j = a.j LEFT JOIN c ON c.x = least(a.node, b.node) AND c.y = greatest(a.node, b.node))"
+    for s in range(1, most + 1):
+        out += f", m{s} AS (SELECT j, i, l, CASE WHEN z IS NULL THEN v WHEN i = z AND l = z THEN -1.0 / zz WHEN i = z THEN zl / zz WHEN l = z THEN iz / zz ELSE v - iz * zl / zz END AS v FROM (SELECT m.j, m.i, m.l, m.v, f.k AS z, max(CASE WHEN m.l = f.k THEN m.v END) OVER (PARTITION BY m.j, m.i) AS iz, max(CASE WHEN m.i = f.k THEN m.v END) OVER (PARTITION BY m.j, m.l) AS zl, max(CASE WHEN m.i = f.k AND m.l = f.k THEN m.v END) OVER (PARTITION BY m.j) AS zz FROM m{s - 1} m LEFT JOIN f ON f.j = m.j AND f.s = {s}) w)"
+    return out + f", reg AS (SELECT b.j, b.i AS k, b.v AS b, -p.v * rest.v AS v, (SELECT max(n) FROM c) AS n FROM m{most} b JOIN m{most} p ON p.j = b.j AND p.i = b.i AND p.l = b.i JOIN m{most} rest ON rest.j = b.j AND rest.i = b.j AND rest.l = b.j WHERE b.l = b.j AND b.i <> b.j)"
+
+
 PLANS = _plans()
 
 

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import two_sided
 from ..operators import kernels, learning
 from ..operators.rows import complete, moments, multiplied, pooled
+from ..operators.sem import poisson_weights
 from . import catalog
 
 Edge = tuple[int, int]
@@ -31,8 +33,9 @@ def edges_of(spark: SparkSession, sf_dir: str) -> list[Edge]:
 
 
 def _estimates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    out = [(f"v{j}", "~", f"v{k}", round(b, 6), round(se, 6), round(b / se, 4) if se else None, round(2 * kernels.normal_survival(abs(b / se)), 6) if se else None) for j, k, b, se in rows]
-    return spark.createDataFrame(out, "lhs string, op string, rhs string, est double, se double, z double, pvalue double")
+    found = spark.createDataFrame([(f"v{j}", "~", f"v{k}", float(b), float(se)) for j, k, b, se in rows], "lhs string, op string, rhs string, est double, se double")
+    p = two_sided("(est / se)")
+    return found.selectExpr("lhs", "op", "rhs", "round(est, 6) AS est", "round(se, 6) AS se", "round(est / se, 4) AS z", f"round({p}, 6) AS pvalue")
 
 
 def study(spark: SparkSession, sf_dir: str) -> tuple[list[Edge], dict[int, tuple], int, object]:
@@ -83,16 +86,16 @@ def fit_ggm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _estimates(spark, kernels.node_wise(r, _parents(edges, len(r)), n))
 
 
-def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFrame:
-    """Poisson bootstrap of the paths: every row draws its weight in each replicate from a hash of its id, so one pass over
-    the rows adds up all replicates, whatever the partitions.
+def resampled(rows: DataFrame, families: list[tuple[int, list[int]]], reps: int) -> DataFrame:
+    """(lhs, rhs, est, se, reps) of the regressions (child, predictors) on scaled columns, by a Poisson bootstrap.
 
-    A child needs the cross products of itself and its parents only, and a replicate is fitted where these meet.
+    Every row draws its weight in each replicate from a hash of its id, so one pass over the rows adds up all replicates, whatever
+    the partitions. A family needs the cross products of its own columns only, and a replicate is fitted where these meet.
     """
     import numpy as np
 
-    edges, rows = edges_of(spark, sf_dir), complete(matrix(spark, sf_dir))
-    families = [(j, [j, *pa_]) for j, pa_ in enumerate(learning.parents(edges, 1 + max(v for e in edges for v in e))) if pa_]
+    rows = complete(rows)
+    families = [(j, [j, *up]) for j, up in families if up]
     cells = [(a, b) for j, own in families for i, a in enumerate(own) for b in own[i:]]
     cells = sorted({(min(c), max(c)) for c in cells})
     nodes = sorted({v for c in cells for v in c})
@@ -102,16 +105,12 @@ def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((reps, size))
-        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 obs = np.asarray(batch.column(0).to_pylist(), np.uint64)
                 x = np.asarray(batch.column(1).flatten(), float).reshape(len(obs), -1)
-                key = obs[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(reps, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
-                key = (key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-                u = ((key ^ (key >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-                sums += np.searchsorted(steps, u).T.astype(float) @ np.column_stack([np.ones(len(x)), x[:, nodes], x[:, left] * x[:, right]])
+                sums += poisson_weights(obs, reps).T @ np.column_stack([np.ones(len(x)), x[:, nodes], x[:, left] * x[:, right]])
         yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array([row.tobytes() for row in sums], pa.binary())], names=["rep", "sums"])
 
     def fit(table: pa.Table) -> pa.Table:
@@ -121,11 +120,33 @@ def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFram
         for j, own in families:
             c = np.array([[s[place[min(a, b), max(a, b)]] / s[0] - mean[a] * mean[b] for b in own] for a in own])
             d = np.sqrt(np.diag(c))
-            out += [(f"v{j}", f"v{own[k]}", b) for _, k, b, _ in kernels.dag_ols(c / np.outer(d, d), {0: list(range(1, len(own)))}, int(s[0]))]
-        return pa.table({"lhs": [x[0] for x in out], "rhs": [x[1] for x in out], "b": [float(x[2]) for x in out]})
+            out += [(f"v{j}", ",".join(f"v{v}" for v in own[1:]), f"v{own[k]}", b) for _, k, b, _ in kernels.dag_ols(c / np.outer(d, d), {0: list(range(1, len(own)))}, int(s[0]))]
+        return pa.table({"lhs": [x[0] for x in out], "given": [x[1] for x in out], "rhs": [x[2] for x in out], "b": [float(x[3]) for x in out]})
+
+    fitted = rows.select("obs", "x").mapInArrow(run, "rep int, sums binary").groupBy("rep").applyInArrow(fit, "lhs string, given string, rhs string, b double")
+    return fitted.groupBy("lhs", "given", "rhs").agg(F.avg("b").alias("est"), F.stddev_samp("b").alias("se"), F.count(F.lit(1)).alias("reps"))
+
+
+def bootstrap_se(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFrame:
+    """Resampled errors of the model's paths."""
+    edges = edges_of(spark, sf_dir)
+    families = list(enumerate(learning.parents(edges, 1 + max(v for e in edges for v in e))))
+    return resampled(matrix(spark, sf_dir), families, reps).select("lhs", "rhs", F.round("se", 6).alias("se"), "reps")
+
 
-    fitted = rows.select("obs", "x").mapInArrow(run, "rep int, sums binary").groupBy("rep").applyInArrow(fit, "lhs string, rhs string, b double")
-    return fitted.groupBy("lhs", "rhs").agg(F.round(F.stddev_samp("b"), 6).alias("se"), F.count(F.lit(1)).alias("reps"))
+def effects_bootstrap(spark: SparkSession, sf_dir: str, reps: int = 1000) -> DataFrame:
+    """Total effects of all reachable pairs, given the parents of the source, with resampled errors."""
+    import numpy as np
+
+    edges = edges_of(spark, sf_dir)
+    width = 1 + max(v for e in edges for v in e)
+    d = learning.distances(edges, width)
+    pairs = [(x, y) for x in range(width) for y in range(width) if x != y and np.isfinite(d[x, y])]
+    families = {(y, x): learning.adjustment(edges, width, x, y, "parents") for x, y in pairs}
+    found = resampled(matrix(spark, sf_dir), [(y, [x, *given]) for (y, x), given in families.items()], reps)
+    first = found.where(F.col("given").startswith(F.col("rhs")) & ((F.col("given") == F.col("rhs")) | F.col("given").startswith(F.concat("rhs", F.lit(",")))))
+    p = two_sided("(est / se)")
+    return first.selectExpr("lhs AS sink", "rhs AS source", "round(est, 6) AS est", "round(se, 6) AS se", f"round({p}, 6) AS pvalue")
 
 
 def learn_dag(spark: SparkSession, sf_dir: str, beta: float = 0.0) -> DataFrame:
@@ -243,5 +264,17 @@ def eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (fit_ml, fit_two_group, fit_ricf, fit_ggm, bootstrap_se, learn_dag, glasso_precision, bap_decorrelate, factor_loadings, steiner_tree, arborescence, communities, minimax_clusters, eigenvalues)
+    plain = (fit_ml, fit_two_group, fit_ricf, fit_ggm, bootstrap_se, effects_bootstrap, learn_dag, glasso_precision, bap_decorrelate, factor_loadings, steiner_tree, arborescence, communities, minimax_clusters, eigenvalues)
     return {f.__name__: f for f in plain} | {f"svd_{m}": _spectral(m) for m in ("trim", "lava", "rsvp", "pcss", "pc")} | {f"deconfounded_{m}": _deconfounded(m) for m in ("glasso", "glpc", "trim", "pcss")}
+
+
+_LINE = f"round(b, 6) AS est, round(se, 6) AS se, round(b / se, 4) AS z, round({two_sided('(b / se)')}, 6) AS pvalue"
+_BY_GROUP = "SELECT least(concat('v', i), concat('v', j)) AS x, greatest(concat('v', i), concat('v', j)) AS y, corr(xv, yv) AS r, count(*) AS n FROM (@both) b WHERE grp = {} GROUP BY i, j"
+SQL = {
+    "fit_ml": f"WITH {catalog.swept_regressions(catalog.PAIR)}, g AS (SELECT j, k, b, sqrt(v / n) AS se FROM reg) SELECT j AS lhs, '~' AS op, k AS rhs, {_LINE} FROM g",
+    "fit_two_group": f"WITH one AS (WITH {catalog.swept_regressions(_BY_GROUP.format(1))} SELECT j, k, b, v / n AS v FROM reg), zero AS (WITH {catalog.swept_regressions(_BY_GROUP.format(0))} SELECT j, k, b, v / n AS v FROM reg), g AS (SELECT one.j, one.k, one.b - zero.b AS b, sqrt(one.v + zero.v) AS se FROM one JOIN zero USING (j, k)) SELECT j AS lhs, '~' AS op, k AS rhs, {_LINE} FROM g",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: catalog.text(sql, duck=True) for name, sql in SQL.items()}

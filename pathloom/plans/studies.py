@@ -121,9 +121,9 @@ def backfilled(raw: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def variance_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order quantities cut to three steps; lines of a discount at which a step is all there is keep theirs."""
-    raw = catalog.frame("SELECT cast(l_orderkey * 10 + l_linenumber AS bigint) AS obs, concat('d', cast(cast(round(l_discount * 100) AS int) AS string)) AS var, l_quantity AS value FROM (@numbered_lines) l", spark, sf_dir)
-    steps = raw.select("obs", "var", F.when(F.col("var") == "d0", F.lit(1.0)).otherwise(F.floor(F.col("value") / 20).cast("double")).alias("value"))
+    """Event values cut to steps of 20; types of which one step is all there is keep theirs."""
+    raw = catalog.frame("SELECT event_id AS obs, event_type AS var, value FROM (@measures) e", spark, sf_dir)
+    steps = raw.select("obs", "var", F.when(F.col("var") == "view", F.lit(1.0)).otherwise(F.floor(F.col("value") / 20).cast("double")).alias("value"))
     return backfilled(raw, steps).groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
@@ -202,7 +202,7 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAIN = (node_weights, ricf_bootstrap, ricf_bootstrap_groups, all_fit_indices, start_values, model_summary, colored_nodes, colored_edges, monte_carlo_fit, local_separation_combined, correlated_columns, variance_backfill, simulated_weights, simulated_groups, simulated_designs, exact_covariance, shifted_rows, whitened_shift, experiment_files, adjacency_cells, pairwise_matrix)
 
 SQL = {
-    "variance_backfill": "WITH l AS (SELECT concat('d', cast(cast(round(l_discount * 100) AS int) AS string)) AS var, l_quantity AS q FROM (@numbered_lines) x), s AS (SELECT var, q, CASE WHEN var = 'd0' THEN 1.0 ELSE floor(q / 20) END AS v FROM l), f AS (SELECT var, var_samp(v) = 0 AS flat FROM s GROUP BY var) SELECT var, count(*) AS n, round(sum(CASE WHEN flat THEN q ELSE v END), 6) AS total FROM s JOIN f USING (var) GROUP BY var",
+    "variance_backfill": "WITH s AS (SELECT event_type AS var, value, CASE WHEN event_type = 'view' THEN 1.0 ELSE floor(value / 20) END AS v FROM (@measures) x), f AS (SELECT var, var_samp(v) = 0 AS flat FROM s GROUP BY var) SELECT var, count(*) AS n, round(sum(CASE WHEN flat THEN value ELSE v END), 6) AS total FROM s JOIN f USING (var) GROUP BY var",
     "adjacency_cells": "WITH n AS (SELECT src AS name FROM (@regional) e UNION SELECT dst FROM (@regional) f), e AS (SELECT DISTINCT src, dst FROM (@signal) s WHERE src LIKE 'r%') SELECT a.name AS i, b.name AS j, CASE WHEN e.src IS NULL THEN 0 ELSE 1 END AS v FROM n a CROSS JOIN n b LEFT JOIN e ON e.src = a.name AND e.dst = b.name",
     "experiment_files": "SELECT var AS feature, count(*) AS n, sum(grp) AS n1, round(avg(value), 6) AS mean FROM (@long) l GROUP BY var",
 }

@@ -86,7 +86,7 @@ def relations(duck: bool = False, published: bool = False) -> dict[str, str]:
             "labels": f"SELECT doc_id, quality, toxic FROM {t('labels')}",
             "turns": f"SELECT conv_id, turn, role FROM {t('conversations')}",
             "regions": f"SELECT r_regionkey, r_name FROM {t('region')}",
-            "numbered_lines": f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM {t('lineitem')}",
+            "measures": f"SELECT event_id, event_type, value FROM {t('events')} WHERE value IS NOT NULL",
             "nations": f"SELECT n_nationkey, n_name, n_regionkey FROM {t('nation')}",
         }
         | _graphs(t)

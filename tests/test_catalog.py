@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pathloom.plans import catalog, studies, walks
+from pathloom.plans import catalog, fits, studies, walks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,9 +40,10 @@ def test_walks(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", list(studies.SQL))
+@pytest.mark.parametrize("name", [*studies.SQL, *fits.SQL])
 def test_studies(spark, duck, name):
-    assert rows(studies.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(studies.oracle_sql()[name]).df())
+    known, sql = studies.queries() | fits.queries(), studies.oracle_sql() | fits.oracle_sql()
+    assert rows(known[name](spark, DATA).toPandas()) == rows(duck.execute(sql[name]).df())
 
 
 def test_published_graph_figures(spark):
