@@ -277,3 +277,14 @@ def test_pipeline_stages_keep_columns(spark):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert 0 < docs.count() < 200
+
+
+def test_the_whole_pipeline_runs_on_awkward_and_empty_documents(spark, tmp_path):
+    rows = [(None, "alpha beta gamma delta one two", "en"), (1, None, None), (2, "", "en"), (3, "same text here", "en"), (3, "same  text here", "en"), (4, "x " * 5000, None), (5, "the benchmark passage of ten words stands right here today now", "en")]
+    for name, given in (("full", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(given, "doc_id long, text string, lang string").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(9, "the benchmark passage of ten words stands right here today")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
+        assert got == ({None, 1, 3, 4} if given else set())
