@@ -45,11 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes when the next one is written; the last table stays, as the rows are read from it."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = common.scratch(spark, f"pipeline-{name}")
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if before:
+                common.discard(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs
