@@ -177,8 +177,8 @@ def lasso(gram: np.ndarray, xy: np.ndarray, lam: float, weights: np.ndarray | No
             moved = max(moved, abs(new - b[k]))
             b[k] = new
         if moved < tol:
-            break
-    return b
+            return b
+    raise RuntimeError(f"no lasso fit within {most} sweeps")
 
 
 def glasso(s: np.ndarray, rho: float, zero: set[tuple[int, int]] | None = None, tol: float = 1e-6, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,8 @@ def glasso(s: np.ndarray, rho: float, zero: set[tuple[int, int]] | None = None,
             w[rest, j] = w[j, rest] = w[np.ix_(rest, free)] @ b
         if np.abs(w - old).max() < tol:
             break
+    else:
+        raise RuntimeError(f"no sparse precision within {most} sweeps")
     theta = np.zeros((p, p))
     for j in range(p):
         rest = [k for k in range(p) if k != j]
@@ -253,12 +255,12 @@ def factors(s: np.ndarray, q: int, most: int = 1000, tol: float = 1e-8) -> tuple
         sigma = load @ load.T + np.diag(psi)
         like = -(np.linalg.slogdet(sigma)[1] + np.trace(np.linalg.solve(sigma, s)))
         if like - last < tol * abs(like):
-            break
+            return load, psi
         last = like
         beta = load.T @ np.linalg.inv(sigma)
         load = s @ beta.T @ np.linalg.inv(np.eye(q) - beta @ load + beta @ s @ beta.T)
         psi = np.maximum(np.diag(s - load @ beta @ s), 1e-6)
-    return load, psi
+    raise RuntimeError(f"no factor model within {most} steps")
 
 
 def layers(s: np.ndarray, eta: float) -> list[list[int]]:

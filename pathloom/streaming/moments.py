@@ -20,7 +20,8 @@ def daily(events: DataFrame, late: str = "2 days") -> DataFrame:
 def event_moments(spark: SparkSession, source: str, folder: str) -> DataFrame:
     """What the stream over the files under ``source`` has added up once all that is there has been read.
 
-    Every micro-batch replaces its own table, so a restart after a loss from the stream's checkpoint repeats it safely.
+    A micro-batch writes the days that it has changed (update mode, so the watermark drops the state of past days) and replaces its
+    own table, so a restart after a loss from the stream's checkpoint repeats it safely. Of a day the last table counts.
     """
     schema = spark.read.parquet(source).schema
     pattern = f"{source[:-1]}[{source[-1]}]"  # matches the source only; a plain path would have to be a folder
@@ -29,9 +30,9 @@ def event_moments(spark: SparkSession, source: str, folder: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    run = daily(files).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = daily(files).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
-    last = found.agg(F.max("batch")).first()[0]
-    rows = found.where(F.col("batch") == last)
+    last = F.max_by(F.struct("n", "mean", "variance"), "batch").alias("last")
+    rows = found.groupBy("window", "event_type").agg(last).select("window", "event_type", "last.*")
     return rows.select(F.date_from_unix_date((F.unix_timestamp("window.start") / 86400).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
