@@ -106,9 +106,11 @@ class Scanner:
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word), the best first."""
-        places = [k for k, w in enumerate(words) if w in self.telling]
-        out = []
-        for name, template, counts, telling in self.templates if places else ():
+        there, out = set(words), []
+        # a text that is too short, or lacks too many of a template's distinct words, cannot cover it
+        able = [t for t in self.templates if len(words) >= self.coverage * len(t[1]) and len(t[2].keys() - there) <= (1 - self.coverage) * len(t[1]) + 1e-9]
+        places = [k for k, w in enumerate(words) if w in self.telling] if able else []
+        for name, template, counts, telling in able if places else ():
             own = [k for k in places if words[k] in telling]
             cuts = [0, *(k for k in range(1, len(own)) if own[k] - own[k - 1] > GAP), len(own)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -119,6 +121,8 @@ class Scanner:
     def region(self, words, start, end, name, template, counts) -> list[tuple[str, float, int, int]]:
         """Matches between two places, none within another."""
         need = self.coverage * len(template)
+        if end - start < need:
+            return []
         heads = {*template[: max(1, len(template) - int(need) + 1)]}
         reaches = [int(r * len(template)) + 2 for r in REACHES]
         out, past, left, right, can, have = [], start, start, start, 0, Counter()
