@@ -101,14 +101,15 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
-        self.templates = [(name, words, Counter(words), frozenset(words) - FUNCTION_WORDS) for name, text in templates.items() if (words := words_of(text.encode()))]
-        self.telling = frozenset().union(*[t for *_, t in self.templates]) if self.templates else frozenset()
+        found = [(name, words_of(text.encode())) for name, text in templates.items()]
+        self.templates = [(name, w, Counter(w), frozenset(w) - FUNCTION_WORDS, frozenset(w), len(set(w)) - (1 - coverage) * len(w) - 1e-9, coverage * len(w)) for name, w in found if w]
+        self.telling = frozenset().union(*[t[3] for t in self.templates]) if self.templates else frozenset()
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word), the best first."""
         there, out = set(words), []
         # a text that is too short, or lacks too many of a template's distinct words, cannot cover it
-        able = [t for t in self.templates if len(words) >= self.coverage * len(t[1]) and len(t[2].keys() - there) <= (1 - self.coverage) * len(t[1]) + 1e-9]
+        able = [t[:4] for t in self.templates if len(words) >= t[6] and len(t[4] & there) >= t[5]]
         places = [k for k, w in enumerate(words) if w in self.telling] if able else []
         for name, template, counts, telling in able if places else ():
             own = [k for k in places if words[k] in telling]
