@@ -19,18 +19,19 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.where("x is not null and grp is not null and not exists(x, v -> v is null or isnan(v))")
 
 
-def moments(rows: DataFrame) -> dict[int, tuple]:
-    """Group to (n, means, covariance) of the columns; what is gathered is width^2 numbers a group.
+SUMS = "grp int, width int, block int, n long, mean binary, squares binary, sums binary"
 
-    Tasks send centred cross products in blocks of ``BLOCK`` rows, which are merged pairwise, so a large mean costs no digits.
-    Rows with a missing value, or shorter than the widest, are incomplete and don't count.
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Centred cross products by group, in blocks of ``BLOCK`` of their rows: ``n``, ``mean`` and ``squares`` (the diagonal) of all columns,
+    ``sums`` of the block's. Tasks send one row a block, which are merged pairwise, so a large mean costs no digits.
     """
     import numpy as np
 
     def merged(one, two, at=slice(None)):
-        (n, mean, sums), (k, other, more) = one, two
-        gap = other - mean
-        return n + k, mean + gap * (k / (n + k)), sums + more + np.outer(gap[at], gap) * (n * k / (n + k))
+        (n, mean, squares, sums), (k, other, more, added_) = one, two
+        gap, part = other - mean, n * k / (n + k)
+        return n + k, mean + gap * (k / (n + k)), squares + more + gap**2 * part, sums + added_ + np.outer(gap[at], gap) * part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], tuple] = {}
@@ -46,24 +47,35 @@ def moments(rows: DataFrame) -> dict[int, tuple]:
                         continue
                     x = flat[(ends[who] - width)[:, None] + np.arange(width)]
                     mean = x.mean(axis=0)
-                    own = len(x), mean, (x - mean).T @ (x - mean)
+                    sums = (x - mean).T @ (x - mean)
+                    own = len(x), mean, np.diag(sums).copy(), sums
                     key = int(g), int(width)
                     found[key] = merged(found[key], own) if key in found else own
-        out = [(g, w, k, n, mean.tobytes(), sums[k * BLOCK : (k + 1) * BLOCK].tobytes()) for (g, w), (n, mean, sums) in found.items() for k in range(-(-w // BLOCK))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["grp", "width", "block", "n", "mean", "sums"])
+        out = [(g, w, k, n, mean.tobytes(), squares.tobytes(), sums[k * BLOCK : (k + 1) * BLOCK].tobytes()) for (g, w), (n, mean, squares, sums) in found.items() for k in range(-(-w // BLOCK))]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=SUMS.replace(",", "").split()[::2])
 
     def add(table: pa.Table) -> pa.Table:
         total = None
         for r in table.to_pylist():
             mean = np.frombuffer(r["mean"])
-            own = r["n"], mean, np.frombuffer(r["sums"]).reshape(-1, len(mean))
+            own = r["n"], mean, np.frombuffer(r["squares"]), np.frombuffer(r["sums"]).reshape(-1, len(mean))
             at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
             total = merged(total, own, at) if total else own
         first = table.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_pylist([first | {"n": total[0], "mean": total[1].tobytes(), "sums": total[2].tobytes()}], schema=table.schema)
+        return pa.Table.from_pylist([first | {"n": total[0], "mean": total[1].tobytes(), "squares": total[2].tobytes(), "sums": total[3].tobytes()}], schema=table.schema)
+
+    return complete(rows).select("x", "grp").mapInArrow(run, SUMS).groupBy("grp", "width", "block").applyInArrow(add, SUMS)
 
-    schema = "grp int, width int, block int, n long, mean binary, sums binary"
-    parts = complete(rows).select("x", "grp").mapInArrow(run, schema).groupBy("grp", "width", "block").applyInArrow(add, schema).collect()
+
+def moments(rows: DataFrame) -> dict[int, tuple]:
+    """Group to (n, means, covariance) of the columns; what is gathered is width^2 numbers a group.
+
+    Rows with a missing value, or shorter than the widest, are incomplete and don't count.
+    """
+    import numpy as np
+
+    parts = blocks(rows).drop("squares").collect()
     width = max((r["width"] for r in parts), default=0)
     out: dict[int, tuple] = {}
     for g in sorted({r["grp"] for r in parts if r["width"] == width}):
@@ -73,6 +85,27 @@ def moments(rows: DataFrame) -> dict[int, tuple]:
     return out
 
 
+def pairs(rows: DataFrame) -> DataFrame:
+    """(grp, i, j, n, r, cov) of all pairs i < j of columns by group; nothing is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for b in batch.to_pylist():
+                squares, first = np.frombuffer(b["squares"]), b["block"] * BLOCK
+                sums = np.frombuffer(b["sums"]).reshape(-1, len(squares))
+                for k, row in enumerate(sums):
+                    i, rest = first + k, slice(first + k + 1, None)
+                    size = len(squares) - i - 1
+                    if size:
+                        scale = np.sqrt(squares[i] * squares[rest])
+                        r = np.divide(row[rest], scale, out=np.full(size, np.nan), where=scale > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, b["grp"], np.int32)), pa.array(np.full(size, i, np.int32)), pa.array(np.arange(i + 1, len(squares), dtype=np.int32)), pa.array(np.full(size, b["n"], np.int64)), pa.array(np.clip(r, -1, 1)), pa.array(row[rest] / max(b["n"] - 1, 1))], names=["grp", "i", "j", "n", "r", "cov"])
+
+    return blocks(rows).mapInArrow(run, "grp int, i int, j int, n long, r double, cov double")
+
+
 def pooled(parts: dict[int, tuple]) -> tuple:
     """(n, correlation) of all groups together."""
     import numpy as np

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjust, not_close_fit, probit, student, two_sided
 from ..operators.adjust import adjusted
+from ..operators.rows import pairs
 from ..sources.graphs import relations
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
@@ -23,8 +24,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SWEEPS = 8
 
 # -- relations that several plans share
-# a row's vector gives all its pairs, which are summed in place: what is shuffled is one row a pair and task
-PAIR = "SELECT least(concat('v', i), concat('v', j)) AS x, greatest(concat('v', i), concat('v', j)) AS y, r, cov, n FROM (SELECT i, j, corr(xv, yv) AS r, covar_samp(xv, yv) AS cov, count(*) AS n FROM (@both) b GROUP BY i, j) c"
+# in Spark the pairs of columns come from the rows' cross products, one small matrix a task; SQL sums them pair by pair
+PAIR = "SELECT x, y, r, cov, n FROM (@pair) pr"
 EDGE_DATA = "SELECT src, dst, obs, grp, xv, yv FROM (@edge_data) m"
 Z_ALL = "SELECT src, dst, corr(xv, yv) AS r, count(*) AS n FROM d GROUP BY src, dst"
 TTEST = """SELECT var, avg(CASE WHEN grp = 1 THEN value END) - avg(CASE WHEN grp = 0 THEN value END) AS diff,
@@ -56,7 +57,7 @@ def _plans() -> dict[str, str]:
     p["edge_r2z"] = f"WITH d AS ({EDGE_DATA}), z AS ({Z_ALL}) SELECT src, dst, round(atanh(r) * sqrt(n - 3.0), 6) AS u, CASE WHEN abs(atanh(r) * sqrt(n - 3.0)) < 1.96 THEN 0 WHEN r > 0 THEN 1 ELSE -1 END AS zsign, round({two_sided('atanh(r) * sqrt(n - 3.0)')}, 6) AS pv FROM z"
     group_z = "g AS (SELECT src, dst, (atanh(max(CASE WHEN grp = 1 THEN r END)) - atanh(max(CASE WHEN grp = 0 THEN r END))) / sqrt(1.0 / (max(CASE WHEN grp = 1 THEN n END) - 3) + 1.0 / (max(CASE WHEN grp = 0 THEN n END) - 3)) AS u FROM (SELECT src, dst, grp, corr(xv, yv) AS r, count(*) AS n FROM d GROUP BY src, dst, grp) s GROUP BY src, dst)"
     p["edge_r2z_group"] = f"WITH d AS ({EDGE_DATA}), {group_z} SELECT src, dst, round(u, 6) AS u, CASE WHEN abs(u) < 1.96 THEN 0 WHEN u > 0 THEN 1 ELSE -1 END AS zsign, round({two_sided('u')}, 6) AS pv FROM g"
-    tests = f"WITH d AS (SELECT i AS src, j AS dst, grp, xv, yv FROM (@both) b), {group_z}, t AS (SELECT least(concat('v', src), concat('v', dst)) AS src, greatest(concat('v', src), concat('v', dst)) AS dst, u, {two_sided('u')} AS pv FROM g)"
+    tests = f"WITH g AS (SELECT x AS src, y AS dst, (atanh(max(CASE WHEN grp = 1 THEN r END)) - atanh(max(CASE WHEN grp = 0 THEN r END))) / sqrt(1.0 / (max(CASE WHEN grp = 1 THEN n END) - 3) + 1.0 / (max(CASE WHEN grp = 0 THEN n END) - 3)) AS u FROM (@group_pair) p GROUP BY x, y), t AS (SELECT src, dst, u, {two_sided('u')} AS pv FROM g)"
     p["pairs_r2z_group_tests"] = f"{tests} SELECT src, dst, u, pv FROM t"
     p["pairs_r2z_group_bh"] = f"{tests}, j AS ({adjust('pv', 't', 'BH', 'src, dst, u')}) SELECT src, dst, round(u, 6) AS u, round(pv, 6) AS pv, round(padj, 6) AS padj FROM j"
     slopes = "s AS (SELECT src, dst, grp, covar_samp(xv, yv) / var_samp(xv) AS b, count(*) AS n, (count(*) - 1) * (var_samp(yv) - covar_samp(xv, yv) * covar_samp(xv, yv) / var_samp(xv)) AS rss, (count(*) - 1) * var_samp(xv) AS sxx FROM d GROUP BY src, dst, grp)"
@@ -175,6 +176,13 @@ def duck_dialect(sql: str) -> str:
 def frame(plan: str, spark: SparkSession, sf_dir: str, published: bool = False) -> DataFrame:
     sql = text(plan, published=published)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    if "{pairs}" in sql or "{group_pairs}" in sql:
+        from .fits import matrix
+
+        rows, name = matrix(spark, sf_dir), lambda pick: pick(F.concat(F.lit("v"), F.col("i").cast("string")), F.concat(F.lit("v"), F.col("j").cast("string")))
+        for key, given in (("pairs", rows.withColumn("grp", F.lit(0))), ("group_pairs", rows)):
+            if "{" + key + "}" in sql:
+                used[key] = pairs(given).select("grp", name(F.least).alias("x"), name(F.greatest).alias("y"), "n", "r", "cov")
     return spark.sql(sql, **used)
 
 

@@ -269,7 +269,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _LINE = f"round(b, 6) AS est, round(se, 6) AS se, round(b / se, 4) AS z, round({two_sided('(b / se)')}, 6) AS pvalue"
-_BY_GROUP = "SELECT least(concat('v', i), concat('v', j)) AS x, greatest(concat('v', i), concat('v', j)) AS y, corr(xv, yv) AS r, count(*) AS n FROM (@both) b WHERE grp = {} GROUP BY i, j"
+_BY_GROUP = "SELECT x, y, r, n FROM (@group_pair) p WHERE grp = {}"
 SQL = {
     "fit_ml": f"WITH {catalog.swept_regressions(catalog.PAIR)}, g AS (SELECT j, k, b, sqrt(v / n) AS se FROM reg) SELECT j AS lhs, '~' AS op, k AS rhs, {_LINE} FROM g",
     "fit_two_group": f"WITH one AS (WITH {catalog.swept_regressions(_BY_GROUP.format(1))} SELECT j, k, b, v / n AS v FROM reg), zero AS (WITH {catalog.swept_regressions(_BY_GROUP.format(0))} SELECT j, k, b, v / n AS v FROM reg), g AS (SELECT one.j, one.k, one.b - zero.b AS b, sqrt(one.v + zero.v) AS se FROM one JOIN zero USING (j, k)) SELECT j AS lhs, '~' AS op, k AS rhs, {_LINE} FROM g",

@@ -77,6 +77,8 @@ def relations(duck: bool = False, published: bool = False) -> dict[str, str]:
             "long": matrix,
             "both": both,
             "edge_data": edge,
+            "pair": "SELECT least(concat('v', i), concat('v', j)) AS x, greatest(concat('v', i), concat('v', j)) AS y, corr(xv, yv) AS r, covar_samp(xv, yv) AS cov, count(*) AS n FROM (@both) b GROUP BY i, j" if duck else "SELECT x, y, r, cov, n FROM {pairs}",
+            "group_pair": "SELECT grp, least(concat('v', i), concat('v', j)) AS x, greatest(concat('v', i), concat('v', j)) AS y, corr(xv, yv) AS r, count(*) AS n FROM (@both) b GROUP BY grp, i, j" if duck else "SELECT grp, x, y, r, n FROM {group_pairs}",
             "trans": f"SELECT src, dst, count(*) AS n FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {t('events')}) s WHERE dst IS NOT NULL GROUP BY src, dst",
             "rawtrans": f"SELECT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {t('events')}) s WHERE dst IS NOT NULL",
             "supply": f"SELECT DISTINCT concat('p', cast(l_partkey AS string)) AS src, concat('s', cast(l_suppkey AS string)) AS dst FROM {t('lineitem')}",
