@@ -354,6 +354,42 @@ def shortest(weights: dict[tuple[int, int], float], start: int) -> tuple[dict[in
     return dist, back
 
 
+def neighbours(a, b, n: int) -> tuple[list[int], list[int]]:
+    """Where each node's neighbours begin, and the neighbours, of edges from ``a`` to ``b`` over nodes 0 to n - 1."""
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+
+
+def distances(a, b, n: int, starts: list[int]) -> list[int]:
+    """The fewest steps from ``starts`` to each node, -1 where no walk leads."""
+    first, to = neighbours(a, b, n)
+    out = [-1] * n
+    for v in starts:
+        out[v] = 0
+    queue = list(dict.fromkeys(starts))
+    for v in queue:
+        for w in to[first[v] : first[v + 1]]:
+            if out[w] < 0:
+                out[w] = out[v] + 1
+                queue.append(w)
+    return out
+
+
+def longest(a, b, n: int, _starts=None) -> list[int]:
+    """The steps of the longest walk that ends in each node, -1 on or behind a cycle."""
+    first, to = neighbours(a, b, n)
+    left = np.bincount(b, minlength=n).tolist()
+    out = [0] * n
+    queue = [v for v in range(n) if not left[v]]
+    for v in queue:
+        for w in to[first[v] : first[v + 1]]:
+            out[w] = max(out[w], out[v] + 1)
+            left[w] -= 1
+            if not left[w]:
+                queue.append(w)
+    return [k if not m else -1 for k, m in zip(out, left, strict=True)]
+
+
 def spanning(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """Kruskal's minimum spanning forest; ties by names."""
     up: dict[int, int] = {}
