@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star steps (Kiveris et al. 2014) shrink the edges to stars around the smallest vertex.
 Before the first step, and in each step, edges are first contracted to a forest within each partition, so what is
-shuffled is bounded by vertices rather than links. Every step is cut by a reliable checkpoint.
+shuffled is bounded by vertices rather than links. Every step is cut by a reliable checkpoint, in as many partitions as its edges fill.
 """
 
 from __future__ import annotations
@@ -60,17 +60,19 @@ def contracted(edges: DataFrame) -> DataFrame:
 def stars(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v): every vertex of an edge that isn't the smallest of its component, with the smallest."""
     now = common.cut(contracted(edges).where("u <> v").distinct())
+    size = now.count()  # steps make no more edges than this, but for stars of one vertex
+    now = common.snug(now, size)
     for _ in range(limit):
         # large-star: neighbours above a vertex are linked to the smallest neighbour, itself included
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # minima are written first: a join then deals its left side apart from the sum, so that adaptive execution can split a hot vertex
-        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = common.cut(common.snug(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), size))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: neighbours below a vertex, and itself, are linked to the smallest of them
-        down = common.cut(contracted(large).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
-        least = common.cut(down.groupBy("u").agg(F.min("v").alias("m")))
+        down = common.cut(contracted(common.snug(large, size)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+        least = common.cut(common.snug(down.groupBy("u").agg(F.min("v").alias("m")), size))
         small = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = common.cut(small.where("u <> v").distinct())
+        new = common.cut(common.snug(small.where("u <> v").distinct(), size))
         tops = new.select("u").intersect(new.select("v")).limit(1)  # done when no vertex is both below and above
         many = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
         if not tops.count() and not many.count():

@@ -125,7 +125,7 @@ def candidates(reps: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     dealt = reps.select("sid", F.explode("bands").alias("band"))
     low = dealt.groupBy("band").agg(F.min("sid").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = dealt.join(low.hint("merge"), "band").where("sid <> low").select(F.col("sid").alias("u"), F.col("low").alias("v"))
-    first = common.cut(reps.groupBy("fp").agg(F.min("sid").alias("first")))
+    first = common.cut(common.snug(reps.groupBy("fp").agg(F.min("sid").alias("first")), reps.count()))
     same = reps.select("sid", "fp").join(first.hint("merge"), "fp").where("sid <> first").select(F.col("sid").alias("u"), F.col("first").alias("v"))
     close = simhash.links(first.select("fp"), radius)
     for end in ("u", "v"):
@@ -171,11 +171,12 @@ def _pivoted(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 def links(marked: DataFrame, reps: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK, radius: int = simhash.RADIUS) -> DataFrame:
     """Edges (u, v) between sets with the components of all similar pairs. ``reps`` has sid, bands, fp and a row's keys of every set."""
     tops = components.stars(candidates(reps, radius))
-    whole = common.cut(tops.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(tops.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct()))
-    sizes = common.cut(whole.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+    n = reps.count()
+    whole = common.cut(common.snug(tops.select(F.col("u").alias("sid"), F.col("v").alias("comp")).unionByName(tops.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct()), n))
+    sizes = common.cut(common.snug(whole.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), n))
     blocks = F.ceil(F.col("n") / block).cast("int")
     placed = whole.join(sizes.hint("merge"), "comp").withColumn("blocks", blocks)
-    placed = common.cut(placed.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
+    placed = common.cut(common.snug(placed.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), n))
 
     # the texts of candidates, one of each set, move once
     named = reps.select("sid", *common.ROW_KEY).join(placed.hint("merge"), "sid")
@@ -191,9 +192,9 @@ def links(marked: DataFrame, reps: DataFrame, words: int = WORDS, similarity: fl
     found = common.cut(_pivoted(first.select("comp", "own", "sid", "pivot", "text"), words, similarity))
     # what the pivots don't join into the largest class of its component goes against all blocks
     classes = large.select("comp", "blocks", "own", "sid").join(components.stars(found).select(F.col("u").alias("sid"), F.col("v").alias("top")).hint("merge"), "sid", "left")
-    classes = common.cut(classes.withColumn("top", F.coalesce("top", "sid")))
+    classes = common.cut(common.snug(classes.withColumn("top", F.coalesce("top", "sid")), n))
     most = classes.groupBy("comp", "top").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max(F.struct("n", "top")).alias("m"), F.sum("n").alias("n"))
-    most = common.cut(most.select("comp", F.col("m.top").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / block).cast("int").alias("rest")).where("rest > 0"))
+    most = common.cut(common.snug(most.select("comp", F.col("m.top").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / block).cast("int").alias("rest")).where("rest > 0"), n))
     todo = classes.join(most.hint("merge"), "comp").withColumn("part", F.when(F.col("top") != F.col("main"), F.pmod(F.xxhash64("sid", F.lit(2)), F.col("rest")).cast("int")))
     if not todo.take(1):
         return small.unionByName(found)
@@ -208,7 +209,8 @@ def dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, b
     marked = common.keyed(docs)
     rows = common.cut(printed(marked, words))
     least = F.struct("_none", "_id", "_sha")
-    reps = common.cut(rows.groupBy("sid").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select("sid", "bands", "fp", "least.*"))
+    reps = rows.groupBy("sid").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).select("sid", "bands", "fp", "least.*")
+    reps = common.cut(common.snug(reps, rows.count()))
     tops = components.stars(links(marked, reps, words, similarity, block, radius))
     roots = reps.select("sid", least.alias("least")).join(tops.select(F.col("u").alias("sid"), F.col("v").alias("top")).hint("merge"), "sid", "left")
     keep = roots.groupBy(F.coalesce("top", "sid").alias("root")).agg(F.min("least").alias("least")).select("least.*")
