@@ -375,7 +375,7 @@ def distances(a, b, n: int, starts: list[int]) -> list[int]:
     return out
 
 
-def longest(a, b, n: int, _starts=None) -> list[int]:
+def longest(a, b, n: int) -> list[int]:
     """The steps of the longest walk that ends in each node, -1 on or behind a cycle."""
     first, to = neighbours(a, b, n)
     left = np.bincount(b, minlength=n).tolist()
