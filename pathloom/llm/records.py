@@ -67,6 +67,9 @@ def unframed(data: bytes, at: int) -> bytes:
     return payload
 
 
+#: Spaces that begin no piece, as white space or the text's end follows; and those that begin one.
+ODD = re.compile(r" (?:[\s\u180e]|\Z)")
+CUT = re.compile(r" (?![\s\u180e]|\Z)")
 #: ASCII marks whose run at a piece's end is a pre-token of its own after letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^`{|}~"
 
@@ -78,6 +81,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Known(dict):
+    """Ids of pieces; one that is asked for and not there is found by ``find``. ``long`` has the long ones, which go after a batch."""
+
+    def __init__(self, find):
+        self.find, self.long = find, []
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self[text] = self.find(text)
+        if len(text) > CACHE_CHARS:
+            self.long.append(text)
+        return ids
+
+
 class Encoder:
     """Texts to packed ids through a ``tokenizers`` file of a byte-level BPE.
 
@@ -95,7 +111,7 @@ class Encoder:
         added = [t.content for t in self.lib.get_added_tokens_decoder().values() if t.content]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.split = self.lib.model, self.lib.pre_tokenizer.pre_tokenize_str
-        self.code, self.known, self.letters = {2: "H", 4: "I"}[width], {}, byte_letters()
+        self.code, self.known, self.letters = {2: "H", 4: "I"}[width], Known(self.piece), byte_letters()
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -109,15 +125,12 @@ class Encoder:
             return self.packed([t.id for t in self.model.tokenize("\u0120" + (text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)))])
         core = text.rstrip(MARKS)
         if core.isalpha():
-            return self.ids(core) + self.run(text[len(core) :])
+            return self.known[core] + self.run(text[len(core) :])
         head, line, tail = text.partition("\n")
         if head and tail and not head[-1].isspace() and tail.isalpha():  # the pre-tokenizer splits around the line's end
-            return self.ids(head) + self.run("\n") + self.run(tail)
+            return self.known[head] + self.run("\n") + self.run(tail)
         return self.packed([t.id for word, _ in self.split(" " + text) for t in self.model.tokenize(word)])
 
-    def ids(self, text: str) -> bytes:
-        return self.known.get(text) or self.piece(text)
-
     def run(self, text: str) -> bytes:
         """Ids of one pre-token without a space before it."""
         key = "\n" + text  # no piece begins with white space
@@ -127,31 +140,19 @@ class Encoder:
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The text up to the first cut, and what follows each cut without its leading space."""
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[0] == "᠎" for p in parts[1:]):
-            joined = [parts[0]]
-            for p in parts[1:]:
-                if not p or p[0].isspace() or p[0] == "᠎":
-                    joined[-1] += " " + p
-                else:
-                    joined.append(p)
-            parts = joined
+        parts = CUT.split(text) if ODD.search(text) else text.split(" ")
         return parts[0], parts[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t, []) if self.special and self.special.search(t) else self.pieces(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        missing = {p for _, rest in cut for p in rest if p not in known}
-        for p in sorted(missing, key=len):
-            known[p] = self.piece(p)
-        get = known.__getitem__
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        get = self.known.__getitem__
         heads = self.library([head for head, _ in cut])
         out = [head + b"".join(map(get, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
-        for p in missing:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        for p in self.known.long:
+            del self.known[p]
+        self.known.long.clear()
         return out
 
 
