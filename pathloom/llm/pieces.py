@@ -13,7 +13,8 @@ k distinct draws without replacement, in order. The best value that is left is t
 depend on partitions or order.
 
 No piece crosses from a non-space to a space or over a line's end, so the lattice of a text is a chain of lattices
-of chunks, which equal chunks of a slice share; the file is checked for this.
+of chunks, which equal chunks share: a worker keeps those it meets first, up to a bound, so that common chunks are built
+once and not once a slice; the file is checked for this.
 
 Null counts as empty; an empty text has one segmentation, without pieces, of probability 1; texts with fewer than k
 segmentations give all they have; repeated rows give equal rows; other columns are not looked at.
@@ -23,9 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +37,11 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Zipf-Mandelbrot: a piece's weight is 1 / (rank + SHIFT).
 SHIFT = 2.7
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Edges below which one slow call does for what else takes several.
+FEW = 256
+#: Nodes of the chunks that a worker keeps.
+KEPT_NODES = 1 << 21
 TABLE_BITS, SLOT_BITS = 22, 19
 
 
@@ -90,6 +93,7 @@ class Vocabulary:
         for b in range(256 if self.byte0 is not None else 0):
             self.bytes[self.byte0 + b] = bytes([b])
         self.table = np.array(self.bytes, dtype=object)
+        self.lattice = Lattice(self)
 
     def find(self, h):
         """Places of hashes among the pieces, -1 where there is none."""
@@ -117,17 +121,72 @@ def rolled(h, code):
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Bases(dict):
+    """First nodes of chunks; one that is asked for and not there gets the next nodes and is noted in ``new``."""
+
+    def __init__(self):
+        self.end, self.new = 0, []
+
+    def __missing__(self, chunk: str) -> int:
+        base = self[chunk] = self.end
+        self.end += len(chunk)
+        self.new.append(chunk)
+        return base
+
+
 class Lattice:
-    """The lattices of some chunks: nodes are positions, edges lie node by node with cumulated conditional probabilities."""
+    """The lattices of chunks: nodes are positions, edges lie node by node with cumulated conditional probabilities.
+
+    ``bases`` has the first node of each chunk. Chunks are kept as long as they have no more than ``KEPT_NODES`` nodes together; later
+    ones are put behind them and go again with :meth:`forget`.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        import numpy as np
+
+        self.vocabulary, self.bases, self.passing, self.kept = vocabulary, Bases(), [], (0, 0)
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1, np.int32)
+        self.node, self.next, self.id, self.log, self.within = (np.zeros(0, t) for t in (np.int32, np.int32, np.int32, np.float64, np.float64))
 
-    def __init__(self, vocabulary: Vocabulary, chunks: list[str]):
+    def see(self, texts: list[list[str]]) -> list:
+        """The first nodes of the chunks of each text; builds those that are not there."""
         import numpy as np
 
-        v = vocabulary
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        get = self.bases.__getitem__
+        out = [np.fromiter(map(get, chunks), np.int32, len(chunks)) for chunks in texts]
+        new, self.bases.new = self.bases.new, []
+        self._build(new)
+        if self.nodes <= KEPT_NODES:
+            self.kept = self.nodes, self.edges
+        else:
+            self.passing = new
+        return out
+
+    def forget(self) -> None:
+        """Drops the chunks that are not kept."""
+        for c in self.passing:
+            del self.bases[c]
+        self.passing = []
+        self.nodes, self.edges = self.kept
+        self.bases.end = self.nodes
+
+    def _room(self, names: tuple[str, ...], used: int, more: int) -> None:
+        import numpy as np
+
+        for name in names:
+            if len(old := getattr(self, name)) < used + more:
+                setattr(self, name, new := np.empty((used + more) * 5 // 4, old.dtype))
+                new[:used] = old[:used]
+
+    def _build(self, chunks: list[str]) -> None:
+        import numpy as np
+
+        if not chunks:
+            return
+        v, size = self.vocabulary, np.fromiter(map(len, chunks), np.int64, len(chunks))
         code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.base = np.cumsum(size) - size
-        left = np.repeat((self.base + size).astype(np.int32), size) - np.arange(len(code), dtype=np.int32)  # characters from a position to its chunk's end
+        left = np.repeat(np.cumsum(size).astype(np.int32), size) - np.arange(len(code), dtype=np.int32)  # characters from a position to its chunk's end
         froms, ids, logs, lens = [], [], [], []
         live, h = np.arange(len(code), dtype=np.int32), np.zeros(len(code), np.uint64)
         for n in range(1, v.longest + 1):
@@ -154,35 +213,40 @@ class Lattice:
         froms, lens, ids, logs = froms[::-1], lens[::-1], ids[::-1], logs[::-1]
         at, lens = np.concatenate(froms), np.concatenate(lens)
         order = np.argsort(at, kind="stable")  # merges of sorted runs
-        node, reach, self.id, logs = at[order], lens[order].astype(np.int32), np.concatenate(ids)[order], np.concatenate(logs)[order]
-        away = left[node]
-        order = np.argsort(away.astype(np.uint16) if not len(away) or away.max() < 1 << 16 else away, kind="stable")  # by distance from the end
-        at, lens, logs, away = node[order], reach[order], logs[order], away[order]
+        node, reach, own, logs = at[order], lens[order].astype(np.int32), np.concatenate(ids)[order], np.concatenate(logs)[order]
+        to, away = node + reach, left[node]
+        to[away <= reach] = len(code)  # the end, whose sum is 0
+        order = np.argsort(away.astype(np.uint16) if away.max() < 1 << 16 else away, kind="stable")  # by distance from the end
+        at, ends, given, away = node[order], to[order], logs[order], away[order]
         beta = np.zeros(len(code) + 1)
-        to = at + lens
-        inside = away > lens
-        steps = np.searchsorted(away, np.arange(1, (int(away[-1]) if len(away) else 0) + 2))
-        mass = np.empty(len(at))
-        for a, b in zip(steps, steps[1:], strict=False):  # all nodes at one distance together
+        head = np.concatenate([[True], at[1:] != at[:-1]])
+        heads, group = np.flatnonzero(head), np.cumsum(head) - 1
+        steps = np.searchsorted(away, np.arange(1, int(away[-1]) + 2))
+        begun = np.append(group, len(heads))[steps]  # nodes before each distance
+        steps, begun, nodes = steps.tolist(), begun.tolist(), at[heads]
+        for a, b, i, j in zip(steps, steps[1:], begun, begun[1:], strict=False):  # all nodes at one distance together
             if a == b:
                 continue
-            score = logs[a:b] + np.where(inside[a:b], beta[np.minimum(to[a:b], len(code))], 0)
-            heads = np.flatnonzero(np.concatenate([[True], at[a + 1 : b] != at[a : b - 1]]))
-            top = np.maximum.reduceat(score, heads)
-            n = np.diff(np.concatenate([heads, [b - a]]))
-            total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, n)), heads))
-            beta[at[a:b][heads]] = total
-            mass[a:b] = score - np.repeat(total, n)
-        self.node, self.log, self.next = node, np.empty(len(node)), np.empty(len(node), np.int32)
-        self.log[order] = np.minimum(mass, 0.0)
-        self.next[order] = np.where(inside, to, -1)
-        p = np.exp(self.log)
-        self.first = np.searchsorted(self.node, np.arange(len(code) + 1, dtype=np.int32)).astype(np.int32)
+            score, first = given[a:b] + beta[ends[a:b]], heads[i:j] - a
+            if b - a < FEW:
+                beta[nodes[i:j]] = np.logaddexp.reduceat(score, first)
+                continue
+            top = np.maximum.reduceat(score, first)
+            beta[nodes[i:j]] = top + np.log(np.add.reduceat(np.exp(score - top[group[a:b] - i]), first))
+        log = np.minimum(logs + beta[to] - beta[node], 0.0)
+        e, m = self.edges, self.edges + len(node)
+        self._room(("node", "next", "id", "log", "within"), e, len(node))
+        self._room(("first",), self.nodes + 1, len(code))
+        first = np.searchsorted(node, np.arange(len(code) + 1, dtype=np.int32))
+        p = np.exp(log)
         run = np.cumsum(p)
-        start = (run - p)[self.first[:-1]] if len(code) else np.zeros(0)
-        within = run - start[self.node] if len(code) else run
-        within[self.first[1:] - 1] = 1.0
-        self.within = within
+        within = run - (run - p)[first[:-1]][node]
+        within[first[1:] - 1] = 1.0
+        to += self.nodes
+        to[to == self.nodes + len(code)] = -1
+        self.node[e:m], self.next[e:m], self.id[e:m], self.log[e:m], self.within[e:m] = node + self.nodes, to, own, log, within
+        self.first[self.nodes : self.nodes + len(code) + 1] = first + e
+        self.nodes, self.edges = self.nodes + len(code), m
 
     def walk(self, nodes, keys, counters):
         """Edges of paths that begin at these nodes (-1: none), and how many each path has."""
@@ -250,12 +314,10 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
     """For each text its samples in order: (ids, log-probability, perturbed log-probability, inclusion probability)."""
     import numpy as np
 
-    chunked = [CHUNK.findall(normal(t)) for t in texts]
-    number: dict[str, int] = defaultdict(count().__next__)
-    numbers = [np.fromiter(map(number.__getitem__, x), np.int32, len(x)) for x in chunked]
-    lattice = Lattice(vocabulary, list(number))
+    lattice = vocabulary.lattice
+    bases = lattice.see([CHUNK.findall(normal(t)) for t in texts])
     keys = mixed(np.asarray(keys, np.int64).astype(np.uint64))
-    searches = [Search(key, lattice.base[x]) for key, x in zip(keys, numbers, strict=True)]
+    searches = [Search(key, x) for key, x in zip(keys, bases, strict=True)]
     # what is to be walked in this round: (search, path before, nodes, first chunk of them, value)
     todo = [(s, np.zeros(0, np.int64), s.chunks, 0, float(-np.log(-np.log(uniform(s.key[None], np.zeros(1, np.int64))[0]))), None) for s in searches]
     for r in range(k):
@@ -293,7 +355,9 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
         if r + 1 == k:
             break
         todo = [x for s in searches if (x := _next(lattice, s, r)) is not None]
-    return [_samples(vocabulary, lattice, s) for s in searches]
+    out = [_samples(vocabulary, lattice, s) for s in searches]
+    lattice.forget()
+    return out
 
 
 def _best(s: Search) -> tuple[float, int, int]:
