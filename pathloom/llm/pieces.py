@@ -14,7 +14,8 @@ depend on partitions or order.
 
 No piece crosses from a non-space to a space or over a line's end, so the lattice of a text is a chain of lattices
 of chunks, which equal chunks share: a worker keeps those it meets first, up to a bound, so that common chunks are built
-once and not once a slice; the file is checked for this.
+once and not once a slice; the file is checked for this. An executor can have more workers than tasks, and an idle one holds
+what it keeps; where other stages have left such workers, ``brief`` keeps fewer chunks, and only as long as the task lasts.
 
 Null counts as empty; an empty text has one segmentation, without pieces, of probability 1; texts with fewer than k
 segmentations give all they have; repeated rows give equal rows; other columns are not looked at.
@@ -40,8 +41,8 @@ SHIFT = 2.7
 SLICE = 1 << 17
 #: Edges below which one slow call does for what else takes several.
 FEW = 256
-#: Nodes of the chunks that a worker keeps.
-KEPT_NODES = 1 << 21
+#: Nodes of the chunks that a worker keeps, and those of a task that leaves nothing behind.
+KEPT_NODES, BRIEF_NODES = 1 << 21, 1 << 19
 TABLE_BITS, SLOT_BITS = 22, 19
 
 
@@ -137,13 +138,14 @@ class Bases(dict):
 class Lattice:
     """The lattices of chunks: nodes are positions, edges lie node by node with cumulated conditional probabilities.
 
-    ``bases`` has the first node of each chunk. Chunks are kept as long as they have no more than ``KEPT_NODES`` nodes together; later
-    ones are put behind them and go again with :meth:`forget`.
+    ``bases`` has the first node of each chunk. Chunks are kept as long as they have no more than ``most`` nodes together (``KEPT_NODES``
+    where it is not given); later ones are put behind them and go again with :meth:`forget`.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most: int | None = None):
         import numpy as np
 
+        self.most = KEPT_NODES if most is None else most
         self.vocabulary, self.bases, self.passing, self.kept = vocabulary, Bases(), [], (0, 0)
         self.nodes = self.edges = 0
         self.first = np.zeros(1, np.int32)
@@ -157,7 +159,7 @@ class Lattice:
         out = [np.fromiter(map(get, chunks), np.int32, len(chunks)) for chunks in texts]
         new, self.bases.new = self.bases.new, []
         self._build(new)
-        if self.nodes <= KEPT_NODES:
+        if self.nodes <= self.most:
             self.kept = self.nodes, self.edges
         else:
             self.passing = new
@@ -421,12 +423,17 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def encode(docs: DataFrame, model: str, samples: int = SAMPLES) -> DataFrame:
-    """One row for each document and sample: ids, probabilities and whether decoding gives the normalised text back."""
+def encode(docs: DataFrame, model: str, samples: int = SAMPLES, brief: bool = False) -> DataFrame:
+    """One row for each document and sample: ids, probabilities and whether decoding gives the normalised text back.
+
+    ``brief``: a task gives back the memory of its chunks, with the same rows.
+    """
     fields = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model)
+        if brief:
+            vocabulary.lattice = Lattice(vocabulary, BRIEF_NODES)
         for whole in batches:
             for part in common.slices(whole, limit=SLICE):
                 texts, keys = common.values(part, "text"), common.values(part, "doc_id")
@@ -435,13 +442,16 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES) -> DataFrame:
                     want = normal(text).encode()
                     rows += [(doc_id, j, ids.tobytes(), len(ids), log, value, inclusion, vocabulary.decode(ids) == want) for j, (ids, log, value, inclusion) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+        if brief:
+            vocabulary.lattice = Lattice(vocabulary)
+            common.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sample int, ids binary, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean")
 
 
-def report(docs: DataFrame, model: str, samples: int = SAMPLES) -> DataFrame:
+def report(docs: DataFrame, model: str, samples: int = SAMPLES, brief: bool = False) -> DataFrame:
     """The digest of :func:`encode`: the crc32 of each sample's ids in place of them."""
-    return encode(docs, model, samples).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return encode(docs, model, samples, brief).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def crc(ids: bytes) -> int:
