@@ -4,10 +4,12 @@ The lattice of a text has an edge for every vocabulary piece that matches at a p
 one edge of byte pieces). A piece's probability falls with its merge rank by Zipf's law, as the file holds ranks only; a
 segmentation's probability is the product over its edges, normalised over all segmentations by backward sums.
 
-Sampling is a perturbed A-star search from the top down: each subtree of the search has one Gumbel value, the maximum
-over its segmentations and so an exact bound. The first path is followed to its end at once; every decision on it leaves one
-sibling, "another edge here, anything after", whose value is a Gumbel of its mass truncated at its parent's. The best sibling
-is expanded next, and so on: k expansions give the k segmentations with the largest perturbed log-probabilities, that is
+Sampling is a perturbed A-star search from the top down: each region of the search has one Gumbel value, the maximum
+over its segmentations and so an exact bound. The first path is followed to its end at once; what it leaves is one region, "another
+edge at one of its decisions, anything after". Such a region has the mass of what comes before its first decision without the path's own
+after its last, so that it takes one Gumbel, truncated at the path's, and not one a decision. The best region is opened
+next: the decision is drawn by mass, the edge and what follows too, and that path's rest and the decisions before and after this one are
+regions again, truncated at its value. So k paths are the k segmentations with the largest perturbed log-probabilities, that is
 k distinct draws without replacement, in order. The best value that is left is the threshold of the inclusion probability
 1 - exp(-exp(log p - threshold)). Random numbers are a hash of the row key, the sample and the decision, so they don't
 depend on partitions or order.
@@ -23,9 +25,11 @@ segmentations give all they have; repeated rows give equal rows; other columns a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +39,7 @@ from . import common
 
 SAMPLES = 3
 SPACE = "▁"
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+CHUNK = re.compile(" *[^ \n]+| +|\n")
 #: Zipf-Mandelbrot: a piece's weight is 1 / (rank + SHIFT).
 SHIFT = 2.7
 SLICE = 1 << 17
@@ -44,6 +48,10 @@ FEW = 256
 #: Nodes of the chunks that a worker keeps, and those of a task that leaves nothing behind.
 KEPT_NODES, BRIEF_NODES = 1 << 21, 1 << 19
 TABLE_BITS, SLOT_BITS = 22, 19
+#: Ids that are decoded together.
+DECODED = 1 << 15
+#: Between the numbers of a key.
+STRIDE = 0xD1342543DE82EF95
 
 
 def normal(text: str | None) -> str:
@@ -51,6 +59,16 @@ def normal(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def chunked(text: str | None) -> list[str]:
+    """The chunks of a normalised text, with spaces for marks: most texts are then strings of one byte a character."""
+    if not text:
+        return []
+    text = " " + text.replace(SPACE, " ")
+    if "  " in text or "\0" in text:
+        return CHUNK.findall(text)
+    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+
+
 class Vocabulary:
     """Pieces by hash, their log-probabilities and their bytes."""
 
@@ -93,7 +111,8 @@ class Vocabulary:
             self.bytes[i] = p.encode()
         for b in range(256 if self.byte0 is not None else 0):
             self.bytes[self.byte0 + b] = bytes([b])
-        self.table = np.array(self.bytes, dtype=object)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins, self.letters = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.lattice = Lattice(self)
 
     def find(self, h):
@@ -109,9 +128,20 @@ class Vocabulary:
             k[more] = np.where(self.hashes[at] == h[more], at, -1)
         return k
 
-    def decode(self, ids) -> bytes:
-        """The normalised text of ids, in UTF-8."""
-        return b"".join(self.table[ids].tolist())
+    def decode(self, ids: list) -> list[bytes]:
+        """The normalised texts of arrays of ids, in UTF-8."""
+        import numpy as np
+
+        row = np.concatenate(ids).astype(np.intp) if ids else np.zeros(0, np.intp)
+        texts, ends = [], np.cumsum(self.sizes[row])
+        for at in range(0, len(row), DECODED):
+            part = row[at : at + DECODED]
+            size = self.sizes.take(part)
+            place = np.repeat(self.begins.take(part) - np.cumsum(size) + size, size)
+            place += np.arange(len(place))
+            texts.append(self.letters.take(place, mode="clip").tobytes())
+        text, cuts = b"".join(texts), np.append(0, ends)[np.cumsum([0, *map(len, ids)])].tolist()
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def rolled(h, code):
@@ -123,13 +153,13 @@ def rolled(h, code):
 
 
 class Bases(dict):
-    """First nodes of chunks; one that is asked for and not there gets the next nodes and is noted in ``new``."""
+    """First nodes of chunks, as four bytes; one that is asked for and not there gets the next nodes and is noted in ``new``."""
 
     def __init__(self):
         self.end, self.new = 0, []
 
-    def __missing__(self, chunk: str) -> int:
-        base = self[chunk] = self.end
+    def __missing__(self, chunk: str) -> bytes:
+        base = self[chunk] = self.end.to_bytes(4, "little")
         self.end += len(chunk)
         self.new.append(chunk)
         return base
@@ -151,12 +181,11 @@ class Lattice:
         self.first = np.zeros(1, np.int32)
         self.node, self.next, self.id, self.log, self.within = (np.zeros(0, t) for t in (np.int32, np.int32, np.int32, np.float64, np.float64))
 
-    def see(self, texts: list[list[str]]) -> list:
-        """The first nodes of the chunks of each text; builds those that are not there."""
+    def see(self, texts: list[list[str]]):
+        """The first nodes of the chunks of all texts, text by text; builds those that are not there."""
         import numpy as np
 
-        get = self.bases.__getitem__
-        out = [np.fromiter(map(get, chunks), np.int32, len(chunks)) for chunks in texts]
+        out = np.frombuffer(b"".join(map(self.bases.__getitem__, chain.from_iterable(texts))), "<i4")
         new, self.bases.new = self.bases.new, []
         self._build(new)
         if self.nodes <= self.most:
@@ -187,7 +216,7 @@ class Lattice:
         if not chunks:
             return
         v, size = self.vocabulary, np.fromiter(map(len, chunks), np.int64, len(chunks))
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code = np.frombuffer("".join(chunks).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         left = np.repeat(np.cumsum(size).astype(np.int32), size) - np.arange(len(code), dtype=np.int32)  # characters from a position to its chunk's end
         froms, ids, logs, lens = [], [], [], []
         live, h = np.arange(len(code), dtype=np.int32), np.zeros(len(code), np.uint64)
@@ -250,30 +279,35 @@ class Lattice:
         self.first[self.nodes : self.nodes + len(code) + 1] = first + e
         self.nodes, self.edges = self.nodes + len(code), m
 
-    def walk(self, nodes, keys, counters):
-        """Edges of paths that begin at these nodes (-1: none), and how many each path has."""
+    def walk(self, nodes, seeds):
+        """Edges of paths that begin at these nodes (-1: none), and how many each path has. Step k takes the number of seed + k * STRIDE."""
         import numpy as np
 
+        first, within, after = self.first, self.within, self.next
         live = np.flatnonzero(nodes >= 0)
-        now, count, steps = nodes[live], np.zeros(len(nodes), np.int64), []
-        k = 0
+        now, seeds, count, steps = nodes.take(live).astype(np.intp), seeds.take(live), np.zeros(len(nodes), np.int64), []
         while len(live):
-            u = uniform(keys[live], counters[live] + k)
-            edge = self.first[now]
-            more = np.flatnonzero(self.within[edge] < u)
+            u = number(seeds)
+            edge = first.take(now, mode="clip").astype(np.intp)  # all are within the bounds; clip takes without a copy
+            more = np.flatnonzero(within.take(edge, mode="clip") < u)
+            at, least = edge.take(more), u.take(more)
             while len(more):
-                edge[more] += 1
-                more = more[self.within[edge[more]] < u[more]]
+                at += 1
+                edge[more] = at
+                go = np.flatnonzero(within.take(at, mode="clip") < least)
+                more, at, least = more.take(go), at.take(go), least.take(go)
             steps.append((live, edge))
-            count[live] += 1
-            now = self.next[edge]
-            go = now >= 0
-            live, now = live[go], now[go]
-            k += 1
+            count[live] = len(steps)
+            now = after.take(edge, mode="clip")
+            go = np.flatnonzero(now >= 0)
+            live, now, seeds = live.take(go), now.take(go).astype(np.intp), seeds.take(go)
+            seeds += np.uint64(STRIDE)
         heads = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for k, (who, edge) in enumerate(steps):
-            out[heads[who] + k] = edge
+            place = heads.take(who)
+            place += k
+            out[place] = edge
         return out, count
 
 
@@ -283,33 +317,74 @@ def mixed(x):
 
     u = np.uint64
     x = x + u(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
-    return x ^ (x >> u(31))
+    x ^= x >> u(30)
+    x *= u(0xBF58476D1CE4E5B9)
+    x ^= x >> u(27)
+    x *= u(0x94D049BB133111EB)
+    x ^= x >> u(31)
+    return x
+
+
+def number(seeds):
+    """Numbers in (0, 1), one for each seed."""
+    import numpy as np
+
+    x = mixed(seeds)
+    x >>= np.uint64(12)
+    x = x + 0.5
+    x *= 1 / (1 << 52)
+    return x
 
 
 def uniform(keys, counters):
     """Numbers in (0, 1) that depend on key and counter only."""
     import numpy as np
 
-    return ((mixed(keys + counters.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(12)) + 0.5) / float(1 << 52)
+    return number(keys + counters.astype(np.uint64) * np.uint64(STRIDE))
 
 
-def cut_gumbel(log_mass, bound, u):
-    """Gumbels of these log masses, each truncated at ``bound``."""
-    import numpy as np
+def cut_gumbel(log_mass: float, bound: float, u: float) -> float:
+    """A Gumbel of this log mass, truncated at ``bound``."""
+    return log_mass - math.log(math.exp(min(log_mass - bound, 700.0)) - math.log(u)) if log_mass > -math.inf else log_mass
+
+
+class Path:
+    """A segmentation: ``prefix``, which ends with the edge that told it from another, and the edges walked from there.
+
+    ``before`` and ``after`` are the log-probabilities up to that edge and with it; ``run`` cumulates the costs (-log) of ``edges``,
+    of which ``chunk`` gives the chunk, with ``first`` that of the prefix's last edge. ``ids`` are those of ``edges``.
+    """
 
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        return np.where(np.isneginf(log_mass), -np.inf, log_mass - np.log(np.exp(np.minimum(log_mass - bound, 700)) - np.log(u)))
+    __slots__ = ("prefix", "before", "after", "first", "value", "edges", "run", "ids", "chunk")
+
+    def __init__(self, prefix, before: float, after: float, first: int, value: float):
+        self.prefix, self.before, self.after, self.first, self.value = prefix, before, after, first, value
 
 
 class Search:
-    """The search of one text: the paths found, and the siblings that are left."""
+    """The search of one text: the paths found, and the regions that are left.
+
+    A region is (value, path, lo, hi, gone): another edge at one of the path's decisions from lo to hi; or, where ``gone`` is given, at the
+    end of its prefix an edge that is not in it.
+    """
+
+    __slots__ = ("paths", "regions")
+
+    def __init__(self):
+        self.paths, self.regions = [], []
 
-    __slots__ = ("key", "chunks", "paths", "boards", "values")
+    def leave(self, path: Path, lo: int, hi: int, bound: float, u: float) -> None:
+        """Decisions from lo to hi become a region, unless they leave no choice."""
+        if lo < hi and (cost := float(path.run[hi] - path.run[lo])) > 0:
+            mass = path.after - float(path.run[lo]) + math.log(-math.expm1(-cost))
+            self.regions.append((cut_gumbel(mass, bound, u), path, lo, hi, None))
 
-    def __init__(self, key, chunks):
-        self.key, self.chunks, self.paths, self.boards, self.values = key, chunks, [], [], []
+    def best(self) -> float:
+        return max((x[0] for x in self.regions), default=-math.inf)
+
+
+#: Numbers that a search takes in a round.
+DRAWS = 6
 
 
 def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> list[list[tuple]]:
@@ -317,100 +392,95 @@ def sampled(vocabulary: Vocabulary, keys, texts: list[str | None], k: int) -> li
     import numpy as np
 
     lattice = vocabulary.lattice
-    bases = lattice.see([CHUNK.findall(normal(t)) for t in texts])
+    chunks = [chunked(t) for t in texts]
+    n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    flat, ends = lattice.see(chunks), np.cumsum(n)
+    starts = ends - n
     keys = mixed(np.asarray(keys, np.int64).astype(np.uint64))
-    searches = [Search(key, x) for key, x in zip(keys, bases, strict=True)]
-    # what is to be walked in this round: (search, path before, nodes, first chunk of them, value)
-    todo = [(s, np.zeros(0, np.int64), s.chunks, 0, float(-np.log(-np.log(uniform(s.key[None], np.zeros(1, np.int64))[0]))), None) for s in searches]
+    places = ((np.arange(len(flat)) - np.repeat(starts, n)) << 20).astype(np.uint64) * np.uint64(STRIDE)
+    searches, lefts, rights = [Search() for _ in texts], starts.tolist(), ends.tolist()
+    first = -np.log(-np.log(uniform(keys, np.zeros(len(keys), np.int64))))
+    none = np.zeros(0, np.int64)
+    # what is to be walked in this round: a text, its path, the node from where, and the edges that are gone there with the mass of those left
+    todo = [(t, Path(none, 0.0, 0.0, 0, value), None, None, 0.0) for t, value in enumerate(first.tolist())]
     for r in range(k):
-        nodes = np.concatenate([t[2] for t in todo]) if todo else np.zeros(0, np.int64)
-        n = np.array([len(t[2]) for t in todo], np.int64)
-        key = np.repeat(mixed(np.array([t[0].key for t in todo], np.uint64) + np.uint64(r + 1)), n)
-        where = np.arange(len(nodes)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([t[3] for t in todo], np.int64), n)
-        edges, steps = lattice.walk(nodes, key, where << 20)
-        cuts = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], np.cumsum(n)])]
-        # all decisions of the round in one row; of a path that was taken anew, from the decision that was
-        firsts = [max(0, len(t[1]) - 1) for t in todo]
-        heads = [lattice.log[t[1][:at]].sum() if at else 0.0 for t, at in zip(todo, firsts, strict=True)]
-        parts = [x for t, at, a, b in zip(todo, firsts, cuts, cuts[1:], strict=False) for x in (t[1][at:], edges[a:b])]
-        row = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        size = np.array([len(t[1]) - at for t, at in zip(todo, firsts, strict=True)], np.int64) + np.diff(cuts)
-        begin = np.cumsum(size) - size
-        logs, degree = lattice.log[row], lattice.first[lattice.node[row] + 1] - lattice.first[lattice.node[row]]
-        run = np.concatenate([[0.0], np.cumsum(logs)])
-        sums = run[begin + size] - run[begin]
-        with np.errstate(divide="ignore"):
-            other = np.where(degree == 1, -np.inf, np.log(-np.expm1(logs)))
-        for t, i in zip(todo, begin.tolist(), strict=True):
-            if t[5] is not None:
-                taken = {*t[5], int(row[i])}
-                rest = 1 - float(np.exp(lattice.log[list(taken)]).sum())
-                other[i] = np.log(rest) if rest > 1e-12 and degree[i] > len(taken) else -np.inf
-        mass = other + run[:-1] + np.repeat(np.array(heads) - run[begin], size)
-        place = np.arange(len(row)) + np.repeat(np.array(firsts, np.int64) - begin, size)
-        u = uniform(np.repeat(np.array([t[0].key for t in todo], np.uint64) + np.uint64(1000 + r), size), place)
-        board = cut_gumbel(mass, np.repeat(np.array([t[4] for t in todo]), size), u)
-        for (s, before, _, _, value, gone), at, head, total, i, j in zip(todo, firsts, heads, sums.tolist(), begin.tolist(), (begin + size).tolist(), strict=True):
-            s.paths.append((np.concatenate([before[:at], row[i:j]]), float(head) + total))
-            s.values.append(value)
-            s.boards.append((board[i:j], at, {*(gone or ())}))
-        if r + 1 == k:
-            break
-        todo = [x for s in searches if (x := _next(lattice, s, r)) is not None]
+        if r:
+            nodes = np.full(len(flat), -1, np.int32)
+            for t, path, node, _, _ in todo:
+                at = lefts[t] + path.first
+                nodes[at : rights[t]] = flat[at : rights[t]]
+                nodes[at] = node
+        edges, steps = lattice.walk(nodes if r else flat, np.repeat(mixed(keys + np.uint64(r + 1)), n) + places)
+        passed = np.cumsum(steps)
+        cuts = np.append(0, passed)
+        begins, stops = cuts[starts].tolist(), cuts[ends].tolist()
+        cost, ids = lattice.log.take(edges, mode="clip"), lattice.id.take(edges, mode="clip")
+        np.negative(cost, out=cost)
+        draws = uniform(keys[:, None] + np.uint64(1000 + r), np.arange(DRAWS)).tolist()
+        for t, path, _, gone, rest in todo:
+            a, b, s = begins[t], stops[t], searches[t]
+            path.edges, path.ids, path.run, path.chunk = edges[a:b], ids[a:b], np.zeros(b - a + 1), (passed[lefts[t] : rights[t]], a)
+            np.cumsum(cost[a:b], out=path.run[1:])
+            s.paths.append(path)
+            s.leave(path, 0, b - a, path.value, draws[t][0])
+            if rest > 0:
+                s.regions.append((cut_gumbel(path.before + math.log(rest), path.value, draws[t][1]), path, 0, 0, gone))
+        if r + 1 < k:
+            todo = [(t, *x) for t, s in enumerate(searches) if (x := _next(lattice, s, draws[t])) is not None]
     out = [_samples(vocabulary, lattice, s) for s in searches]
     lattice.forget()
     return out
 
 
-def _best(s: Search) -> tuple[float, int, int]:
-    """The largest value that is left, its board and its place on it."""
-    import numpy as np
-
-    best = (-np.inf, -1, -1)
-    for k, (values, _, _) in enumerate(s.boards):
-        if len(values) and values[j := int(values.argmax())] > best[0]:
-            best = (float(values[j]), k, j)
-    return best
-
-
-def _next(lattice: Lattice, s: Search, r: int):
-    """Takes the best sibling: another edge at its decision, all chunks after it to be walked."""
+def _next(lattice: Lattice, s: Search, draws: list[float]):
+    """Opens the best region: another edge at one of its decisions, all chunks after it to be walked."""
     import numpy as np
 
-    value, k, j = _best(s)
-    if k < 0:
+    if not s.regions:
         return None
-    values, at, gone = s.boards[k]
-    values[j] = -np.inf
-    path = s.paths[k][0]
-    here = at + j
-    gone = ({*gone} if j == 0 else set()) | {int(path[here])}
-    node = int(lattice.node[path[here]])
+    region = max(s.regions, key=lambda x: x[0])
+    s.regions.remove(region)
+    value, path, lo, hi, gone = region
+    if gone is None:
+        # the decision whose share holds a point of the mass; forced ones have none
+        low, high, run = float(path.run[lo]), float(path.run[hi]), path.run
+        point = min(max(low - math.log1p(draws[2] * math.expm1(low - high)), math.nextafter(low, math.inf)), high)
+        at = lo + int(run[lo + 1 : hi + 1].searchsorted(point))
+        s.leave(path, lo, at, value, draws[4])
+        s.leave(path, at + 1, hi, value, draws[5])
+        taken, prefix, before = int(path.edges[at]), np.concatenate([path.prefix, path.edges[:at]]), path.after - float(run[at])
+        passed, offset = path.chunk
+        first, gone = int(passed.searchsorted(offset + at, "right")), {taken}
+    else:
+        taken, prefix, before, first = int(path.prefix[-1]), path.prefix[:-1], path.before, path.first
+    node = int(lattice.node[taken])
     edges = [e for e in range(int(lattice.first[node]), int(lattice.first[node + 1])) if e not in gone]
-    p = np.cumsum(np.exp(lattice.log[edges]))
-    u = float(uniform(np.full(1, s.key + np.uint64(2000 + r)), np.full(1, here))[0])
-    edge = edges[min(int(np.searchsorted(p, u * p[-1], "right")), len(edges) - 1)]
-    chunk = int(np.count_nonzero(lattice.next[path[:here]] < 0))  # chunks that end before the decision
-    nodes = np.concatenate([[lattice.next[edge]], s.chunks[chunk + 1 :]])
-    return s, np.concatenate([path[:here], [edge]]), nodes, chunk, value, gone
+    logs = lattice.log[edges].tolist()
+    p = [math.exp(x) for x in logs]
+    point, j = draws[3] * sum(p), 0
+    while j + 1 < len(p) and point >= p[j]:
+        point -= p[j]
+        j += 1
+    rest = sum(p[:j]) + sum(p[j + 1 :])
+    return Path(np.append(prefix, edges[j]), before, before + logs[j], first, value), int(lattice.next[edges[j]]), gone | {edges[j]}, rest
 
 
 def _samples(vocabulary: Vocabulary, lattice: Lattice, s: Search) -> list[tuple]:
     import numpy as np
 
-    threshold = _best(s)[0]
+    threshold = s.best()
     out = []
-    for (path, log), value in zip(s.paths, s.values, strict=True):
-        ids = lattice.id[path]
-        if len(odd := np.flatnonzero(ids < 0)):
+    for path in s.paths:
+        ids, log = np.concatenate([lattice.id[path.prefix], path.ids]), path.after - float(path.run[-1])
+        if len(ids) and ids.min() < 0:
+            odd = np.flatnonzero(ids < 0)
             code = -ids[odd] - 1
             if (code < 128).all():
-                ids = ids.copy()
                 ids[odd] = vocabulary.byte0 + code
             else:
                 ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else [vocabulary.byte0 + b for b in chr(-x - 1).encode("utf-8", "surrogatepass")])], np.int64)
-        inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(log - threshold, 700.0))))
-        out.append((ids.astype("<u4"), log, value, inclusion))
+        inclusion = 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(log - threshold, 700.0)))
+        out.append((ids.astype("<u4"), log, path.value, inclusion))
     return out
 
 
@@ -437,10 +507,12 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, brief: bool = Fa
         for whole in batches:
             for part in common.slices(whole, limit=SLICE):
                 texts, keys = common.values(part, "text"), common.values(part, "doc_id")
+                found = sampled(vocabulary, [x or 0 for x in keys], texts, samples)
+                decoded = iter(vocabulary.decode([x[0] for own in found for x in own]))
                 rows = []
-                for doc_id, text, found in zip(keys, texts, sampled(vocabulary, [x or 0 for x in keys], texts, samples), strict=True):
+                for doc_id, text, own in zip(keys, texts, found, strict=True):
                     want = normal(text).encode()
-                    rows += [(doc_id, j, ids.tobytes(), len(ids), log, value, inclusion, vocabulary.decode(ids) == want) for j, (ids, log, value, inclusion) in enumerate(found)]
+                    rows += [(doc_id, j, ids.tobytes(), len(ids), log, value, inclusion, next(decoded) == want) for j, (ids, log, value, inclusion) in enumerate(own)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
         if brief:
             vocabulary.lattice = Lattice(vocabulary)
